@@ -35,11 +35,14 @@ def interval_counts(log: DataFrame, interval_s: int = 60) -> DataFrame:
         F.min(F.when(ok, micros)).alias("first_ok"),
         F.min(started).alias("first_start"),
     )
-    span = counts.groupBy("shard").agg(F.min("bucket").alias("low"), F.max("bucket").alias("high"))
-    every = span.select("shard", F.explode(F.sequence("low", "high")).alias("bucket"))
-    filled = every.join(counts, ["shard", "bucket"], "left")
-    zeros = [F.coalesce(name, F.lit(0)).alias(name) for name in ("new", "errors", *TOKENS)]
-    return filled.select("shard", "bucket", *zeros, "first_ok", "first_start")
+    # Each interval stands for itself and the empty ones up to the next.
+    following = F.lead("bucket").over(W.partitionBy("shard").orderBy("bucket"))
+    filled = counts.withColumn("_until", F.coalesce(following, F.col("bucket") + 1) - 1).select(
+        "*", F.explode(F.sequence("bucket", "_until")).alias("_bucket")
+    )
+    own = F.col("_bucket") == F.col("bucket")
+    zeros = [F.when(own, F.col(name)).otherwise(F.lit(0)).alias(name) for name in ("new", "errors", *TOKENS)]
+    return filled.select("shard", F.col("_bucket").alias("bucket"), *zeros, "first_ok", "first_start")
 
 
 def progress(

@@ -133,12 +133,16 @@ def run_summary(
     that is not completed is not active; with `strict_eta`, completed shards are
     not excepted.
     """
-    last = latest_per_shard(progress, "completed", "total", "eta_seconds", "eta_formatted")
-    first = progress.groupBy("shard").agg(F.min("timestamp").alias("first_timestamp"))
+    columns = ("completed", "total", "eta_seconds", "eta_formatted")
+    per_shard = progress.groupBy("shard").agg(
+        F.min("timestamp").alias("first_timestamp"),
+        F.max("timestamp").alias("latest_timestamp"),
+        *[F.max_by(name, "timestamp").alias(name) for name in columns],
+    )
     flags = completed.select("shard").distinct().withColumn("done", F.lit(True))
     rows = (
         _shard_list(progress, shards, num_shards)
-        .join(last.join(first, "shard"), "shard", "left")
+        .join(per_shard, "shard", "left")
         .join(flags, "shard", "left")
     )
     active = F.coalesce(F.col("latest_timestamp") >= F.lit(float(cutoff)), F.lit(False))

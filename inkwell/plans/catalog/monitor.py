@@ -139,7 +139,7 @@ FROM shards s LEFT JOIN last l ON l.shard = s.shard
 )
 def stats(spark, sf_dir):
     """Every shard of the run, also those without data."""
-    return shard_stats(status_progress(spark, sf_dir), CUTOFF).select(
+    return shard_stats(status_progress(spark, sf_dir), CUTOFF, num_shards=6).select(
         "shard", "latest_timestamp", "completed", "total", "eta_seconds", "entries",
         F.round("avg_requests_ps", 9).alias("avg_requests_ps"), F.round("avg_total_tps", 6).alias("avg_total_tps"),
         "progress_pct", "status",
@@ -162,7 +162,7 @@ FROM shards s LEFT JOIN last l ON l.shard = s.shard
 def board(spark, sf_dir):
     """The per-shard table as text."""
     completed = spark.createDataFrame([(0,), (5,)], "shard int")
-    rows = shard_board(shard_stats(status_progress(spark, sf_dir), CUTOFF), completed)
+    rows = shard_board(shard_stats(status_progress(spark, sf_dir), CUTOFF, num_shards=6), completed)
     return rows.select("shard", "completed", "progress", "entries", "last_update", "eta")
 
 
@@ -200,7 +200,7 @@ FROM shards s LEFT JOIN last l ON l.shard = s.shard
 )
 def summary(spark, sf_dir):
     completed = spark.createDataFrame([(4,), (5,)], "shard int")
-    rows = run_summary(status_progress(spark, sf_dir), completed, CUTOFF)
+    rows = run_summary(status_progress(spark, sf_dir), completed, CUTOFF, num_shards=6)
     kind = F.when(F.col("longest_eta") == "∞", "∞").otherwise("known")
     return rows.select(
         "total_shards", "shards_completed", "shards_with_data", "active_shards", "duration_minutes", "total_completed",

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,14 +20,22 @@ from inkwell.operators.progress import progress, progress_records
 from inkwell.operators.resume import pending
 from inkwell.operators.transforms import apply_named
 from inkwell.operators.validate import validate
-from inkwell.session import materialize, tune
+from inkwell.session import materialize, scratch_path, tune
 from inkwell.sinks.tables import append_progress, append_results
+from inkwell.sources import files
 from inkwell.sources.inputs import load_configured
 from inkwell.sources.responses import done_ids, read_results
 
 _ROW = "_row"
 _WAVE = "_wave"
 
+# Ids already done, as stored: up to this size they are joined in every wave
+# (small enough to be broadcast), beyond it once, before the waves are cut.
+SMALL_DONE_BYTES = 10 * 1024 * 1024
+
+# Cut waves by file only with so many files for each, or they would be uneven.
+FILES_PER_WAVE = 4
+
 
 @dataclass(frozen=True)
 class RunSummary:
@@ -73,12 +82,19 @@ def run(
         _prepared(source, config), config.api_type, config.input_column_name, config.id_column_name,
         mode="fail", sample=validate_sample,
     )
+    scratch = scratch_path(spark, "run")
+    earlier = done_ids(read_results(spark, config.output_path, config.api_type), retry_failed)
     # Written once for all waves; its true size then decides how it is joined.
-    done = materialize(done_ids(read_results(spark, config.output_path, config.api_type), retry_failed), "done-ids")
+    done = materialize(earlier, "done-ids", path=f"{scratch}/done-ids")
+    done_bytes = 0 if done.isEmpty() else sum(size for _, size in files.list_files(spark, f"{scratch}/done-ids"))
     counts = {"new": 0, "errors": 0, "prompt_tokens": 0, "completion_tokens": 0}
     waves = 0
-    for wave, rows in enumerate(_waves(source, num_waves)):
-        todo = _prepared(pending(rows, done, config.id_column_name), config)
+    todo_before = num_waves > 1 and done_bytes > SMALL_DONE_BYTES
+    rest = pending(source, done, config.id_column_name) if todo_before else source
+    for wave, rows in enumerate(_waves(rest, num_waves, f"{scratch}/waves", by_file=not todo_before)):
+        if done_bytes and not todo_before:
+            rows = pending(rows, done, config.id_column_name)
+        todo = _prepared(rows, config)
         row_key = F.col(_ROW) if _ROW in todo.columns else None
         results = infer(todo, config, client_factory, run_id, wave, row_key)
         aborted = _write_wave(results, config, counts)
@@ -102,6 +118,7 @@ def run(
         rows = progress(mine, totals, progress_interval_s, num_shards=config.num_shards)
         append_progress(progress_records(rows).withColumn("run_id", F.lit(run_id)), progress_path)
     check_complete(totals, log, completion, config.min_success_ratio)
+    files.delete_folder(spark, scratch)
     return RunSummary(run_id=run_id, waves=waves, seconds=time.time() - began, **counts)
 
 
@@ -134,24 +151,25 @@ def _write_wave(results: DataFrame, config: RunConfig, counts: dict[str, int]) -
     return values.get("aborted") or 0
 
 
-def _waves(source: DataFrame, num_waves: int) -> Iterator[DataFrame]:
+def _waves(source: DataFrame, num_waves: int, stage_path: str, by_file: bool = True) -> Iterator[DataFrame]:
     """The input in `num_waves` parts, each row in exactly one.
 
-    A table with enough files is cut by file, so every wave reads only its own
-    files. Any other frame is written once, one folder per wave, so it is not
-    computed again for every wave.
+    A table with enough files is cut by a hash of the file name, which prunes the
+    file list: every wave scans only its own files, and nothing is moved. Any other frame is written once, one folder per
+    wave in files of even size, so that no wave computes it again.
     """
     located = _located(source)
     if num_waves <= 1:
         yield located
         return
-    paths = sorted(source.inputFiles()) if _ROW in located.columns else []
-    if len(paths) >= num_waves:
+    if by_file and _ROW in located.columns and len(source.inputFiles()) >= FILES_PER_WAVE * num_waves:
+        file_wave = F.pmod(F.xxhash64("_metadata.file_path"), F.lit(num_waves))
         for wave in range(num_waves):
-            yield _located(source.where(F.col("_metadata.file_path").isin(paths[wave::num_waves])))
+            yield _located(source.where(file_wave == wave))
         return
     part = F.pmod(F.xxhash64(_ROW if _ROW in located.columns else F.struct("*")), F.lit(num_waves))
-    staged = materialize(located.withColumn(_WAVE, part.cast("int")), "waves", _WAVE)
+    cut = located.withColumn(_WAVE, part.cast("int")).hint("rebalance", _WAVE)
+    staged = materialize(cut, "waves", _WAVE, path=stage_path)
     for wave in range(num_waves):
         yield staged.where(F.col(_WAVE) == wave).drop(_WAVE)
 
@@ -160,5 +178,5 @@ def _located(df: DataFrame) -> DataFrame:
     """Add a row key from file and row number where the frame is a parquet table."""
     try:
         return df.select("*", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias(_ROW))
-    except Exception:  # noqa: BLE001 - not a file-backed frame, or not parquet
+    except AnalysisException:  # not a file-backed frame, or not parquet
         return df

@@ -8,11 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 # Requests are slow and must not be sent twice: no speculative copies of a task,
-# few task retries, small Arrow batches so finished rows leave the task early.
-STATIC_CONF = {
-    "spark.speculation": "false",
-    "spark.task.maxFailures": "2",
-}
+# and small Arrow batches, so finished rows leave the task early. Task retries stay
+# on: a request task never fails by itself, only with its executor.
+STATIC_CONF = {"spark.speculation": "false"}
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -62,14 +60,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/inkwell/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, *partition_by: str, path: str | None = None) -> DataFrame:
     """Write `df` once as a parquet table in the shared folder and read it back.
 
     Cuts the lineage: later jobs, and retries after a lost executor, start from
     the table, so values that depend on task placement cannot change.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, name)
+    path = path or scratch_path(spark, name)
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

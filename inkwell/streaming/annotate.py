@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
@@ -10,7 +11,7 @@ from inkwell.config import RunConfig
 from inkwell.operators.infer import ClientFactory, infer
 from inkwell.operators.resume import pending
 from inkwell.operators.transforms import apply_named
-from inkwell.session import materialize, tune
+from inkwell.session import tune
 from inkwell.sinks.tables import append_results
 from inkwell.sources.responses import done_ids, read_results
 
@@ -33,20 +34,30 @@ def annotate_stream(
     client_factory: ClientFactory,
     checkpoint: str,
     run_id: str = "stream",
+    done_scope: str = "table",
     available_now: bool = True,
     interval: str = "60 seconds",
 ) -> StreamingQuery:
     """Send a request for each arriving row without a response, and append the results.
 
     A batch may be run again after a failure; the anti-join then finds what the
-    first try wrote. With `available_now` the query ends when no file is left.
+    first try wrote. `done_scope="table"` looks for a batch's ids in the whole
+    output table; `"batch"` only in what the same batch wrote before, for long
+    streams whose ids do not come twice. With `available_now` the query ends when
+    no file is left.
     """
-    spark = arrivals.sparkSession
-    tune(spark)
+    if done_scope not in ("table", "batch"):
+        raise ValueError("done_scope must be 'table' or 'batch'")
+    tune(arrivals.sparkSession)
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        done = materialize(done_ids(read_results(session, config.output_path, config.api_type)), "done-ids")
+        results = read_results(session, config.output_path, config.api_type)
+        if done_scope == "batch":
+            results = results.where((F.col("run_id") == run_id) & (F.col("wave") == batch_id))
+        # The batch is the small side: keep only its ids of what is done.
+        own = batch.select(F.col(config.id_column_name).alias("id")).distinct()
+        done = done_ids(results).join(own, "id", "left_semi")
         todo = apply_named(pending(batch, done, config.id_column_name), config.apply_udf, config.apply_udf_kwargs)
         append_results(infer(todo, config, client_factory, run_id, batch_id), config.output_path)
 
