@@ -55,16 +55,31 @@ class Breaker:
             self.tripped = self.tripped or self.streak >= self.max_failures
 
 
-def align(df: DataFrame, num_shards: int, tasks_per_shard: int, row_key: Column) -> DataFrame:
+def row_hash(df: DataFrame) -> Column:
+    """A hash over all columns of a row that can be hashed."""
+    names = [f.name for f in df.schema if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+    return F.xxhash64(*[F.col(f"`{name}`") for name in names])
+
+
+def align(df: DataFrame, config: RunConfig, row_key: Column | None = None) -> DataFrame:
     """Exactly `tasks_per_shard` partitions for each shard, rows spread by `row_key`.
 
-    The partition number is computed, not hashed, so no partition holds two
-    shards and none is left empty by a collision: a task talks to one endpoint
-    and writes one shard folder.
+    Adds the shard if there is none. The partition number is computed, not
+    hashed, so no partition holds two shards and none is left empty by a
+    collision: a task talks to one endpoint and writes one shard folder.
+
+    The default key is the id with the input, or the whole row where the input is
+    not built yet. Copies of one row are told apart only by a key that differs,
+    such as their place in a file.
     """
-    slot = F.pmod(F.xxhash64(row_key), F.lit(tasks_per_shard)).cast("int")
-    target = F.col("shard") * tasks_per_shard + slot
-    return df.repartitionById(num_shards * tasks_per_shard, target)
+    if row_key is None:
+        own = [config.id_column_name, config.input_column_name]
+        row_key = row_hash(df.select(*own)) if set(own) <= set(df.columns) else row_hash(df)
+    if "shard" not in df.columns:
+        df = df.withColumn("shard", hash_shard(config.id_column_name, config.num_shards))
+    slot = F.pmod(F.xxhash64(row_key), F.lit(config.tasks_per_shard)).cast("int")
+    target = F.col("shard") * config.tasks_per_shard + slot
+    return df.repartitionById(config.num_shards * config.tasks_per_shard, target)
 
 
 def infer(
@@ -74,6 +89,7 @@ def infer(
     run_id: str | None = None,
     wave: int = 0,
     row_key: Column | None = None,
+    aligned: bool = False,
 ) -> DataFrame:
     """Send one request per row; the result has the results schema.
 
@@ -81,22 +97,20 @@ def infer(
     one. Each use of the returned frame sends the requests again: write it once
     and read the table.
 
-    `row_key` spreads a shard's rows over its tasks. The default covers the id
-    and the input; copies of one row can be told apart by a key that differs.
+    `aligned` says that `align` was called on the source rows, before the prompts
+    were built: then only source columns are shuffled, not whole prompts.
     """
-    spark = df.sparkSession
-    ship_package(spark)
-    if "shard" not in df.columns:
+    ship_package(df.sparkSession)
+    if not aligned:
+        df = align(df, config, row_key)
+    elif "shard" not in df.columns:
         df = df.withColumn("shard", hash_shard(config.id_column_name, config.num_shards))
     request = request_body(config.api_type, config.model, config.input_column_name, config.completions_kwargs)
-    key = row_key if row_key is not None else F.struct(F.col(config.id_column_name), request)
     rows = df.select(
         F.col(config.id_column_name).cast("string").alias("id"),
         F.col("shard").cast("int").alias("shard"),
         request.alias("request"),
-        F.xxhash64(key).alias("_key"),
     )
-    aligned = align(rows, config.num_shards, config.tasks_per_shard, F.col("_key")).drop("_key")
     send = _Sender(
         endpoints=config.endpoints or [""],
         client_factory=client_factory,
@@ -104,7 +118,7 @@ def infer(
         deadline_s=config.request_timeout_seconds,
         max_failures=config.max_consecutive_failures,
     )
-    attempts = aligned.mapInArrow(send, one_line(ATTEMPTS))
+    attempts = rows.mapInArrow(send, one_line(ATTEMPTS))
     return typed_results(attempts, config.api_type, run_id or uuid.uuid4().hex, wave)
 
 

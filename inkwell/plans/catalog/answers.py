@@ -20,7 +20,7 @@ from inkwell.functions.parsing import (
 from inkwell.functions.prompts import fill
 from inkwell.functions.sharding import hash_shard
 from inkwell.operators.client import StubClient
-from inkwell.operators.infer import infer
+from inkwell.operators.infer import align, infer
 from inkwell.operators.outcomes import (
     id_counts,
     outcome_counts,
@@ -57,8 +57,9 @@ _ANSWER_COLUMNS = "id, 'ok' AS status, 'stop' AS finish_reason, content, prompt_
 def infer_chat(spark, sf_dir):
     """The request map on whole documents, chat form."""
     config = document_config("unused")
-    rows = apply_named(documents(spark, sf_dir).select("id", "text"), config.apply_udf, config.apply_udf_kwargs)
-    return infer(rows, config, StubClient()).select(
+    rows = align(documents(spark, sf_dir).select("id", "text"), config)
+    todo = apply_named(rows, config.apply_udf, config.apply_udf_kwargs)
+    return infer(todo, config, StubClient(), aligned=True).select(
         "id", "status", finish_reason().alias("finish_reason"), content().alias("content"), *usage_columns()[:3]
     )
 

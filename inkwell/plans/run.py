@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from inkwell.config import RunConfig, api_key
 from inkwell.functions.sharding import hash_shard
 from inkwell.operators.client import HttpClientFactory
-from inkwell.operators.infer import ClientFactory, infer
+from inkwell.operators.infer import ClientFactory, align, infer, row_hash
 from inkwell.operators.outcomes import check_complete, request_log, shard_totals
 from inkwell.operators.progress import progress, progress_records
 from inkwell.operators.resume import pending
@@ -94,9 +94,9 @@ def run(
     for wave, rows in enumerate(_waves(rest, num_waves, f"{scratch}/waves", by_file=not todo_before)):
         if done_bytes and not todo_before:
             rows = pending(rows, done, config.id_column_name)
-        todo = _prepared(rows, config)
-        row_key = F.col(_ROW) if _ROW in todo.columns else None
-        results = infer(todo, config, client_factory, run_id, wave, row_key)
+        # Source rows are dealt to tasks; prompts are built after that shuffle.
+        dealt = align(rows, config, F.col(_ROW) if _ROW in rows.columns else None).drop(_ROW)
+        results = infer(_prepared(dealt, config), config, client_factory, run_id, wave, aligned=True)
         aborted = _write_wave(results, config, counts)
         waves += 1
         if aborted:
@@ -167,7 +167,8 @@ def _waves(source: DataFrame, num_waves: int, stage_path: str, by_file: bool = T
         for wave in range(num_waves):
             yield _located(source.where(file_wave == wave))
         return
-    part = F.pmod(F.xxhash64(_ROW if _ROW in located.columns else F.struct("*")), F.lit(num_waves))
+    key = F.col(_ROW) if _ROW in located.columns else row_hash(located)
+    part = F.pmod(F.xxhash64(key), F.lit(num_waves))
     cut = located.withColumn(_WAVE, part.cast("int")).hint("rebalance", _WAVE)
     staged = materialize(cut, "waves", _WAVE, path=stage_path)
     for wave in range(num_waves):

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from inkwell.config import RunConfig
-from inkwell.operators.infer import ClientFactory, infer
+from inkwell.operators.infer import ClientFactory, align, infer
 from inkwell.operators.resume import pending
 from inkwell.operators.transforms import apply_named
 from inkwell.session import tune
@@ -58,8 +58,9 @@ def annotate_stream(
         # The batch is the small side: keep only its ids of what is done.
         own = batch.select(F.col(config.id_column_name).alias("id")).distinct()
         done = done_ids(results).join(own, "id", "left_semi")
-        todo = apply_named(pending(batch, done, config.id_column_name), config.apply_udf, config.apply_udf_kwargs)
-        append_results(infer(todo, config, client_factory, run_id, batch_id), config.output_path)
+        dealt = align(pending(batch, done, config.id_column_name), config)
+        todo = apply_named(dealt, config.apply_udf, config.apply_udf_kwargs)
+        append_results(infer(todo, config, client_factory, run_id, batch_id, aligned=True), config.output_path)
 
     writer = arrivals.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)
