@@ -9,6 +9,14 @@ import time
 from inkwell.config import ConfigError, RunConfig, load_config
 
 
+def _load(args) -> RunConfig:
+    from inkwell.operators.transforms import load_transforms
+
+    for source in args.transforms or []:
+        load_transforms(source)
+    return load_config(args.config)
+
+
 def _session(config: RunConfig):
     from inkwell.session import build_session
 
@@ -30,7 +38,7 @@ def validate_data(args) -> int:
     from inkwell.operators.validate import preview, validate
     from inkwell.sources.inputs import load_configured
 
-    config = load_config(args.config)
+    config = _load(args)
     check_shard(args.shard, args.num_shards)
     rows = load_configured(_session(config), config)
     if args.shard is not None:
@@ -46,7 +54,7 @@ def run_command(args) -> int:
     from inkwell.operators.outcomes import IncompleteShardsError
     from inkwell.plans.run import BreakerTripped, run
 
-    config = load_config(args.config)
+    config = _load(args)
     try:
         print(
             run(
@@ -58,6 +66,7 @@ def run_command(args) -> int:
                 validate_sample=args.validate_sample,
                 progress_path=args.log,
                 progress_interval_s=args.interval,
+                max_rows_per_file=args.max_rows_per_file,
             )
         )
     except (BreakerTripped, IncompleteShardsError) as error:
@@ -120,6 +129,7 @@ def parser() -> argparse.ArgumentParser:
     def add(name, fn, text):
         sub = commands.add_parser(name, help=text)
         sub.add_argument("--config", required=True, help="YAML run configuration")
+        sub.add_argument("--transforms", action="append", help="module or .py file that registers transforms")
         sub.set_defaults(fn=fn)
         return sub
 
@@ -136,6 +146,7 @@ def parser() -> argparse.ArgumentParser:
     work.add_argument("--validate-sample", type=int)
     work.add_argument("--log", help="folder for progress records")
     work.add_argument("--interval", type=int, default=60)
+    work.add_argument("--max-rows-per-file", type=int)
     look = add("status", status, "show shards, throughput and progress")
     look.add_argument("--detailed", action="store_true")
     look.add_argument("--recent-minutes", type=float, default=5.0)

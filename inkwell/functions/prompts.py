@@ -64,6 +64,23 @@ def from_turns(df: DataFrame, key: str, turn: str, role: str, text: str, into: s
     )
 
 
+# Message fields of the chat API. Contents may be text or a list of parts, so they
+# are kept as variants.
+_OPEN_MESSAGES = (
+    "array<struct<role:string, content:variant, name:string, tool_call_id:string, "
+    "tool_calls:variant, function_call:variant>>"
+)
+
+
+def messages_from_json(text: Column | str) -> Column:
+    """Messages from JSON text, with contents that are text or lists of parts.
+
+    Null where the text is not a JSON list.
+    """
+    text = _col(text)
+    return F.when(F.ltrim(text).startswith("["), F.from_json(text, _OPEN_MESSAGES))
+
+
 def ends_with_assistant(messages: Column | str) -> Column:
     """Whether the reply is started by the request (assistant prefill)."""
     messages = _col(messages)

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import importlib
+import importlib.util
+import os
+import sys
 from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from inkwell.functions.prompts import conversation, fill, truncate
+from inkwell.sources.shipping import ship_package
 
 Transform = Callable[..., DataFrame]
 
@@ -36,12 +42,32 @@ def register_rows(name: str, schema: str | StructType, id_col: str = "id") -> Ca
     """
 
     def add(fn: Callable[..., dict[str, Any]]) -> Callable[..., dict[str, Any]]:
-        _REGISTRY[name] = lambda df, **kwargs: map_rows(df, fn, schema, id_col, kwargs)
+        def apply(df: DataFrame, **kwargs: Any) -> DataFrame:
+            ship_package(df.sparkSession)
+            return map_rows(df, fn, schema, id_col, kwargs)
+
+        _REGISTRY[name] = apply
         return fn
 
     return add
 
 
+def load_transforms(source: str) -> None:
+    """Import a module, or a `.py` file, that registers transforms.
+
+    Its functions are sent to tasks by value, so workers need not have it.
+    """
+    if source.endswith(".py"):
+        name = "inkwell_user_" + os.path.splitext(os.path.basename(source))[0]
+        spec = importlib.util.spec_from_file_location(name, source)
+        module = importlib.util.module_from_spec(spec)
+        sys.modules[name] = module
+        spec.loader.exec_module(module)
+    else:
+        module = importlib.import_module(source)
+    cloudpickle.register_pickle_by_value(module)
+
+
 def map_rows(df: DataFrame, fn: Callable, schema: str | StructType, id_col: str, kwargs: dict) -> DataFrame:
     schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     arrow_schema = to_arrow_schema(schema)

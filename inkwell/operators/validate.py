@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructType
+from pyspark.sql.types import ArrayType, DataType, StringType, StructType, VariantType
 
 # The message roles of the public chat API.
 ROLES = ("developer", "system", "user", "assistant", "tool", "function")
@@ -24,11 +24,16 @@ def is_blank(text: Column | str) -> Column:
     return text.rlike(_BLANK)
 
 
-def message_is_valid(message: Column, fields: set[str]) -> Column:
+def message_is_valid(message: Column, fields: dict[str, DataType]) -> Column:
     """One message against the chat API's rules for its role."""
 
     def has(name: str) -> Column:
-        return message[name].isNotNull() if name in fields else F.lit(False)
+        if name not in fields:
+            return F.lit(False)
+        value = message[name]
+        if isinstance(fields[name], VariantType):
+            return value.isNotNull() & ~F.is_variant_null(value)
+        return value.isNotNull()
 
     role = message["role"]
     return F.coalesce(
@@ -59,9 +64,9 @@ def _rules(df: DataFrame, api_type: str, input_col: str, id_col: str) -> list[tu
         return rules
     rules.append(("messages_not_list", value.isNull()))
     rules.append(("messages_empty", F.size(value) == 0))
-    names = set(element.names)
-    if "role" in names:
-        bad = F.exists(value, lambda m: ~message_is_valid(m, names))
+    fields = {f.name: f.dataType for f in element.fields}
+    if "role" in fields:
+        bad = F.exists(value, lambda m: ~message_is_valid(m, fields))
     else:
         bad = F.size(value) > 0
     rules.append(("message_invalid", bad))

@@ -27,7 +27,6 @@ from inkwell.plans.catalog.shared import (
 from inkwell.session import scratch_path
 from inkwell.sinks.tables import save_prepared
 from inkwell.sources.inputs import describe_input, load_input
-from inkwell.sources.shipping import ship_package
 
 OPTIONS = {
     "temperature": 0.3,
@@ -238,7 +237,6 @@ register_rows("label_prompt", "id string, prompt string")(label_prompt)
 )
 def row_function(spark, sf_dir):
     """A registered row function; the id it writes is not taken."""
-    ship_package(spark)
     rows = documents(spark, sf_dir).select("id", "lang", "text")
     out = apply_named(rows, "label_prompt", {"prefix": "doc in "})
     return out.select("id", F.md5("prompt").alias("prompt_md5"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 import uuid
+import warnings
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -63,6 +64,7 @@ def run(
     validate_sample: int | None = None,
     progress_path: str | None = None,
     progress_interval_s: int = 60,
+    max_rows_per_file: int | None = None,
     run_id: str | None = None,
     after_wave: Callable[[int], None] | None = None,
 ) -> RunSummary:
@@ -74,6 +76,8 @@ def run(
     request, so a lost executor cannot undo a finished task.
     """
     tune(spark)
+    if spark.conf.get("spark.speculation", "false") == "true":
+        warnings.warn("spark.speculation is on: slow tasks are copied and their requests sent twice")
     began = time.time()
     run_id = run_id or uuid.uuid4().hex
     client_factory = client_factory or HttpClientFactory(config.api_type, api_key(), config.max_retries)
@@ -97,7 +101,7 @@ def run(
         # Source rows are dealt to tasks; prompts are built after that shuffle.
         dealt = align(rows, config, F.col(_ROW) if _ROW in rows.columns else None).drop(_ROW)
         results = infer(_prepared(dealt, config), config, client_factory, run_id, wave, aligned=True)
-        aborted = _write_wave(results, config, counts)
+        aborted = _write_wave(results, config, counts, max_rows_per_file)
         waves += 1
         if aborted:
             shards = (
@@ -132,7 +136,9 @@ def _prepared(rows: DataFrame, config: RunConfig) -> DataFrame:
     return apply_named(rows, config.apply_udf, config.apply_udf_kwargs)
 
 
-def _write_wave(results: DataFrame, config: RunConfig, counts: dict[str, int]) -> int:
+def _write_wave(
+    results: DataFrame, config: RunConfig, counts: dict[str, int], max_rows_per_file: int | None = None
+) -> int:
     """Append one wave. Its counts are taken while it is written, without another scan."""
     seen = Observation()
     usage = F.col("response.usage")
@@ -144,7 +150,7 @@ def _write_wave(results: DataFrame, config: RunConfig, counts: dict[str, int]) -
         F.sum(usage["prompt_tokens"].cast("bigint")).alias("prompt_tokens"),
         F.sum(usage["completion_tokens"].cast("bigint")).alias("completion_tokens"),
     )
-    append_results(watched, config.output_path)
+    append_results(watched, config.output_path, max_rows_per_file)
     values = seen.get
     for name in counts:
         counts[name] += values.get(name) or 0

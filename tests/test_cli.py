@@ -45,3 +45,17 @@ def test_unreachable_endpoint_fails_the_run(config_file, capsys):
     # Nothing listens there, so every request fails to connect.
     assert main(["run", "--config", config_file]) == 1
     assert "endpoint appears to be down" in capsys.readouterr().err
+
+
+def test_transforms_come_from_a_file(spark, config_file, tmp_path, capsys):
+    (tmp_path / "mine.py").write_text(
+        "from inkwell.operators.transforms import register_rows\n"
+        "MARK = '!'\n"
+        "@register_rows('shout_rows', 'id string, prompt string')\n"
+        "def shout_rows(row, times=1):\n"
+        "    return {'prompt': row['prompt'] + MARK * times}\n"
+    )
+    with open(config_file, "a") as handle:
+        handle.write("apply_udf: shout_rows\napply_udf_kwargs: {times: 2}\n")
+    assert main(["validate-data", "--config", config_file, "--transforms", str(tmp_path / "mine.py")]) == 0
+    assert "hello!!" in capsys.readouterr().out

@@ -1,6 +1,9 @@
+import json
+
 import pytest
-from pyspark.sql import functions as F
 
+from inkwell.functions.prompts import messages_from_json
+from inkwell.functions.requests import chat_request
 from inkwell.operators.validate import InvalidInputError, duplicate_ids, preview, validate
 
 CHAT = "id string, messages array<struct<role:string,content:string,name:string,tool_call_id:string>>"
@@ -104,3 +107,19 @@ def test_preview(spark):
     assert got == [("r0", 0, "user", "a"), ("r0", 1, "assistant", "b"), ("r1", 0, "user", "c")]
     prompts = spark.createDataFrame([("b", "2"), ("a", "1")], "id string, prompt string")
     assert [tuple(r) for r in preview(prompts, 1, "prompt").collect()] == [("a", 0, "prompt", "1")]
+
+
+def test_contents_of_many_parts(spark):
+    rows = [
+        ("a", '[{"role": "user", "content": [{"type": "text", "text": "hi"}]}, {"role": "assistant", "content": null}]'),
+        ("b", '[{"role": "user", "content": "hi"}]'),
+        ("c", '[{"role": "user", "content": null}]'),
+        ("d", '{"role": "user"}'),
+        ("e", "not json"),
+    ]
+    frame = spark.createDataFrame(rows, "id string, raw string").withColumn("messages", messages_from_json("raw"))
+    got = report(frame, "chat-completion", "messages")
+    assert got["message_invalid"] == (1, "c") and got["messages_not_list"] == (2, "d")
+    bodies = {r.id: r.b for r in frame.select("id", chat_request("m", "messages").alias("b")).collect()}
+    assert json.loads(bodies["a"])["messages"][0] == {"role": "user", "content": [{"type": "text", "text": "hi"}]}
+    assert json.loads(bodies["b"])["messages"] == [{"role": "user", "content": "hi"}]
