@@ -29,7 +29,7 @@ from inkwell.operators.outcomes import (
     shard_totals,
     usage_totals,
 )
-from inkwell.operators.responses import join_back, latest_per_id, read_responses
+from inkwell.operators.responses import join_back, latest_per_id, read_plain_responses, read_responses
 from inkwell.operators.transforms import apply_named
 from inkwell.plans.catalog.registry import query, table
 from inkwell.plans.catalog.shared import (
@@ -46,7 +46,7 @@ from inkwell.plans.run import run
 from inkwell.schemas import COMPLETION_RESPONSE, one_line
 from inkwell.session import scratch_path
 from inkwell.sinks.compaction import compact
-from inkwell.sinks.tables import append_results, file_inventory
+from inkwell.sinks.tables import adopt_responses, append_results, export_responses, file_inventory
 from inkwell.sources.responses import done_ids, read_results
 from inkwell.streaming.annotate import annotate_stream, read_arrivals
 
@@ -359,6 +359,30 @@ def resumed_run(spark, sf_dir):
     )
 
 
+@query(
+    "adopted_responses",
+    f"""
+WITH {SQL_ANSWERS}
+SELECT shard, count(*) AS num_rows, count(DISTINCT id) AS num_ids, CAST(sum(total_tokens) AS BIGINT) AS total_tokens
+FROM answers GROUP BY shard
+""",
+)
+def adopted_responses(spark, sf_dir):
+    """Plain response files of some documents taken over by a results table, then a run for the rest."""
+    plain, path = scratch_path(spark, "plain"), scratch_path(spark, "adopted")
+    docs = documents(spark, sf_dir)
+    labelled = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("id")).distinct()
+    answers = read_responses(spark, document_results(spark, sf_dir))
+    export_responses(answers.join(labelled, "id", "left_semi"), plain)
+    adopt_responses(read_plain_responses(spark, plain), path, NUM_SHARDS)
+    run(spark, document_config(path), StubClient(), docs)
+    return read_results(spark, path).groupBy("shard").agg(
+        F.count(F.lit(1)).alias("num_rows"),
+        F.countDistinct("id").alias("num_ids"),
+        F.sum("response.usage.total_tokens").alias("total_tokens"),
+    )
+
+
 @query(
     "usage_totals",
     f"""

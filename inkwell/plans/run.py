@@ -8,7 +8,6 @@ import warnings
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +23,7 @@ from inkwell.operators.validate import validate
 from inkwell.session import materialize, scratch_path, tune
 from inkwell.sinks.tables import append_progress, append_results
 from inkwell.sources import files
-from inkwell.sources.inputs import load_configured
+from inkwell.sources.inputs import has_row_index, load_configured
 from inkwell.sources.responses import done_ids, read_results
 
 _ROW = "_row"
@@ -183,7 +182,6 @@ def _waves(source: DataFrame, num_waves: int, stage_path: str, by_file: bool = T
 
 def _located(df: DataFrame) -> DataFrame:
     """Add a row key from file and row number where the frame is a parquet table."""
-    try:
-        return df.select("*", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias(_ROW))
-    except AnalysisException:  # not a file-backed frame, or not parquet
+    if not has_row_index(df):
         return df
+    return df.select("*", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias(_ROW))

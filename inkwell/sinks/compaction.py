@@ -87,10 +87,8 @@ def compact(
     if rows_after != rows_before:
         raise RuntimeError(f"merged files hold {rows_after} rows, expected {rows_before}; table left as it was")
     new = [(p, p.rsplit("/", 2)[-2]) for p in merged.inputFiles()]
-    for source, folder in new:
-        files.move_into(spark, source, f"{path.rstrip('/')}/{folder}")
-    for source in old:
-        files.delete_file(spark, source)
+    files.for_each(lambda item: files.move_into(spark, item[0], f"{path.rstrip('/')}/{item[1]}"), new)
+    files.for_each(lambda source: files.delete_file(spark, source), old)
     files.delete_folder(spark, staging)
     return Compaction(tuple(sorted(shards)), len(old), len(new), rows_before)
 

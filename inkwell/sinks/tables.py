@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkwell.functions.sharding import hash_shard
 from inkwell.sources import files
 
 SHARD_FOLDER = r"/shard=(\d+)/[^/]*$"
@@ -22,6 +23,33 @@ def append_results(results: DataFrame, path: str, max_rows_per_file: int | None
     writer.parquet(path)
 
 
+def export_responses(answers: DataFrame, path: str) -> None:
+    """Write plain (id, response) files, without attempts that failed or repeat."""
+    answers.select("id", "response").write.option("compression", "zstd").parquet(path)
+
+
+def adopt_responses(answers: DataFrame, path: str, num_shards: int) -> None:
+    """Append plain (id, response) rows to a results table, as successful attempts.
+
+    A run on that table then resumes after them. The rebalance hint gives each
+    shard folder files of even size and cuts a large shard into several.
+    """
+    created = F.timestamp_seconds(F.col("response.created"))
+    rows = answers.select(
+        "id",
+        F.lit("adopted").alias("run_id"),
+        F.lit(0).alias("wave"),
+        F.lit("ok").alias("status"),
+        F.lit(None).cast("string").alias("error_class"),
+        F.lit(None).cast("string").alias("error_text"),
+        created.alias("started_at"),
+        created.alias("finished_at"),
+        "response",
+        hash_shard("id", num_shards).alias("shard"),
+    )
+    append_results(rows.hint("rebalance", "shard"), path)
+
+
 def save_prepared(df: DataFrame, path: str) -> None:
     """Save an input table once its prompts or conversations are built."""
     df.write.option("compression", "zstd").parquet(path)

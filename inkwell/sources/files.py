@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from fnmatch import fnmatch
 
 from pyspark.sql import SparkSession
@@ -75,6 +76,13 @@ def move_into(spark: SparkSession, source: str, folder: str) -> None:
         raise OSError(f"could not move {source} to {target}")
 
 
+def for_each(action, items: list) -> None:
+    """Apply a file action to many items, some at a time; the first error is raised."""
+    with ThreadPoolExecutor(max_workers=16) as pool:
+        for _ in pool.map(action, items):
+            pass
+
+
 def delete_file(spark: SparkSession, path: str) -> None:
     if not _fs(spark, path).delete(_path(spark, path), False):
         raise OSError(f"could not delete {path}")

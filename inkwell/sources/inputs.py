@@ -125,3 +125,12 @@ def describe_input(df: DataFrame) -> DataFrame:
         F.lit(len(df.columns)).alias("num_columns"),
         F.lit(df.schema.simpleString()).alias("schema"),
     )
+
+
+def has_row_index(df: DataFrame) -> bool:
+    """Whether rows still know their file and row number (`_metadata` of a parquet table)."""
+    # Asked of the analysed plan: selecting a column that is not there would be
+    # logged as an error.
+    hidden = df._jdf.queryExecution().analyzed().metadataOutput()
+    columns = [hidden.apply(i) for i in range(hidden.size())]
+    return any(c.name() == "_metadata" and "row_index" in c.dataType().catalogString() for c in columns)
