@@ -44,7 +44,10 @@ def validate_data(args) -> int:
     if args.shard is not None:
         rows = select_shard(with_shard(rows, args.num_shards, id_col=config.id_column_name), args.shard, args.num_shards)
     rows = apply_named(rows, config.apply_udf, config.apply_udf_kwargs)
-    report = validate(rows, config.api_type, config.input_column_name, config.id_column_name, sample=args.sample)
+    report = validate(
+        rows, config.api_type, config.input_column_name, config.id_column_name,
+        sample=args.sample, completions_kwargs=config.completions_kwargs,
+    )
     report.show(50, truncate=False)
     preview(rows, args.show, config.input_column_name, config.id_column_name).show(200, truncate=False)
     return 1 if report.where("severity = 'error' AND bad_rows > 0").count() else 0

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from inkwell.session import materialize
@@ -12,11 +13,11 @@ from inkwell.sources.responses import read_response_files, read_results
 def latest_per_id(df: DataFrame, id_col: str = "id", order: tuple[str, ...] = ("finished_at", "wave")) -> DataFrame:
     """The last row of each id, by `order`.
 
-    An aggregation, so copies of a hot id are reduced before the shuffle.
+    Spark keeps one row per id in each task before the shuffle (a partial window
+    group limit), so copies of a hot id never meet in one task.
     """
-    row = F.struct(*[F.col(name) for name in df.columns])
-    latest = df.groupBy(id_col).agg(F.max_by(row, F.struct(*order)).alias("_row"))
-    return latest.select("_row.*")
+    newest = W.partitionBy(id_col).orderBy(*[F.col(name).desc_nulls_last() for name in order])
+    return df.withColumn("_place", F.row_number().over(newest)).where("_place = 1").drop("_place")
 
 
 def _drop_repeats(table: DataFrame, order: list[Column]) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StringType, StructType, VariantType
 
+from inkwell.functions.prompts import prefill_flags_missing
+
 # The message roles of the public chat API.
 ROLES = ("developer", "system", "user", "assistant", "tool", "function")
 
@@ -73,6 +75,11 @@ def _rules(df: DataFrame, api_type: str, input_col: str, id_col: str) -> list[tu
     return rules
 
 
+def _is_message_list(df: DataFrame, input_col: str) -> bool:
+    kind = df.schema[input_col].dataType
+    return isinstance(kind, ArrayType) and isinstance(kind.elementType, StructType) and "role" in kind.elementType.names
+
+
 def validate(
     df: DataFrame,
     api_type: str,
@@ -82,12 +89,15 @@ def validate(
     sample: int | None = None,
     cast_id: bool = False,
     check_unique: bool = False,
+    completions_kwargs: dict | None = None,
 ) -> DataFrame:
     """Rows that break each rule: rule, severity, bad_rows, first_id.
 
     One aggregation over the table; only `check_unique` needs a shuffle, of ids
     alone. `mode="fail"` reads the report (one row per rule) and raises if any
-    error rule has bad rows. `sample` checks that many rows only.
+    error rule has bad rows. `sample` checks that many rows only. With
+    `completions_kwargs`, chats that end with the assistant are counted as a
+    warning where the options do not tell the server to continue them.
     """
     if api_type not in ("completion", "chat-completion"):
         raise ValueError(f"invalid api_type {api_type!r}")
@@ -100,13 +110,15 @@ def validate(
         df = df.withColumn(id_col, F.col(id_col).cast("string"))
     if sample is not None:
         df = df.limit(sample)
-    rules = _rules(df, api_type, input_col, id_col)
+    rules = [(rule, "error", bad) for rule, bad in _rules(df, api_type, input_col, id_col)]
+    if completions_kwargs is not None and api_type == "chat-completion" and _is_message_list(df, input_col):
+        rules.append(("prefill_without_flags", "warning", prefill_flags_missing(input_col, completions_kwargs)))
     measures = [F.count(F.lit(1)).alias("num_rows")]
-    for i, (_, bad) in enumerate(rules):
+    for i, (_, _, bad) in enumerate(rules):
         bad = F.coalesce(bad, F.lit(False))
         measures.append(F.count_if(bad).alias(f"n{i}"))
         measures.append(F.min(F.when(bad, F.col(id_col).cast("string"))).alias(f"first{i}"))
-    lines = [_line(rule, "error", F.col(f"n{i}"), F.col(f"first{i}")) for i, (rule, _) in enumerate(rules)]
+    lines = [_line(rule, kind, F.col(f"n{i}"), F.col(f"first{i}")) for i, (rule, kind, _) in enumerate(rules)]
     empty = F.when(F.col("num_rows") == 0, F.lit(1)).otherwise(F.lit(0)).cast("bigint")
     lines.append(_line("empty", "warning", empty, F.lit(None).cast("string")))
     report = df.agg(*measures).select(F.inline(F.array(*lines)))

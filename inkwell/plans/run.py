@@ -83,7 +83,7 @@ def run(
     source = df if df is not None else load_configured(spark, config)
     validate(
         _prepared(source, config), config.api_type, config.input_column_name, config.id_column_name,
-        mode="fail", sample=validate_sample,
+        mode="fail", sample=validate_sample, completions_kwargs=config.completions_kwargs,
     )
     scratch = scratch_path(spark, "run")
     earlier = done_ids(read_results(spark, config.output_path, config.api_type), retry_failed)

@@ -11,7 +11,7 @@ from inkwell.operators.client import StubClient
 from inkwell.operators.infer import infer
 from inkwell.operators.outcomes import request_log, usage_totals
 from inkwell.operators.resume import pending
-from inkwell.operators.responses import join_back
+from inkwell.operators.responses import join_back, latest_per_id
 from inkwell.operators.shard import with_shard
 from inkwell.operators.status import shard_stats
 from inkwell.operators.transforms import apply_named
@@ -91,6 +91,12 @@ def test_resume_is_an_anti_join_without_a_forced_broadcast(spark, table):
     assert "BroadcastHashJoin" in plan(pending(table, table.select("id")))
 
 
+def test_last_row_per_id_is_cut_down_before_the_shuffle(table):
+    text = plan(latest_per_id(table, "lang", ("id",)))
+    above, below = text.split("Exchange", 1)
+    assert "Final" in above and "WindowGroupLimit" in below and "Partial" in below
+
+
 def test_nested_reads_scan_their_leaves_only(results):
     text = plan(results.select(content()))
     assert "ReadSchema: struct<response:struct<choices:array<struct<message:struct<content:string>>>>>" in text

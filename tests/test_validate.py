@@ -123,3 +123,11 @@ def test_contents_of_many_parts(spark):
     bodies = {r.id: r.b for r in frame.select("id", chat_request("m", "messages").alias("b")).collect()}
     assert json.loads(bodies["a"])["messages"][0] == {"role": "user", "content": [{"type": "text", "text": "hi"}]}
     assert json.loads(bodies["b"])["messages"] == [{"role": "user", "content": "hi"}]
+
+
+def test_prefilled_rows_without_flags_are_a_warning(spark):
+    rows = chat(spark, [msg("user", "a"), msg("assistant", "<t>")], [msg("user", "c")])
+    got = validate(rows, "chat-completion", "messages", mode="fail", completions_kwargs={"temperature": 0.0}).collect()
+    assert {(r.severity, r.bad_rows, r.first_id) for r in got if r.rule == "prefill_without_flags"} == {("warning", 1, "r0")}
+    flags = {"continue_final_message": True, "add_generation_prompt": False}
+    assert report(rows, "chat-completion", "messages", completions_kwargs=flags)["prefill_without_flags"] == (0, None)
