@@ -24,7 +24,7 @@ from inkwell.session import materialize, scratch_path, tune
 from inkwell.sinks.tables import append_progress, append_results
 from inkwell.sources import files
 from inkwell.sources.inputs import has_row_index, load_configured
-from inkwell.sources.responses import done_ids, read_results
+from inkwell.sources.responses import done_ids, finished, read_results
 
 _ROW = "_row"
 _WAVE = "_wave"
@@ -117,8 +117,11 @@ def run(
     log = request_log(read_results(spark, config.output_path, config.api_type))
     totals = input_totals(source, config)
     if progress_path:
-        mine = log.where(F.col("run_id") == run_id)
-        rows = progress(mine, totals, progress_interval_s, num_shards=config.num_shards)
+        mine = F.col("run_id") == run_id
+        earlier = shard_totals(finished(log.where(~mine), retry_failed)).withColumnRenamed("total", "existing")
+        rows = progress(
+            log.where(mine), totals, progress_interval_s, num_shards=config.num_shards, existing=earlier
+        )
         append_progress(progress_records(rows).withColumn("run_id", F.lit(run_id)), progress_path)
     check_complete(totals, log, completion, config.min_success_ratio)
     files.delete_folder(spark, scratch)

@@ -37,18 +37,25 @@ def read_response_files(spark: SparkSession, path: str, api_type: str = "chat-co
     return df.withColumn("shard", number.try_cast("int"))
 
 
+def finished(rows: DataFrame, retry_failed: bool = False) -> DataFrame:
+    """Attempts after which an id needs no further request.
+
+    Those with a response, and those whose prompt is too long for the model,
+    which no retry can mend, unless `retry_failed` is set.
+    """
+    done = F.col("status") == "ok"
+    if not retry_failed:
+        done = done | (F.col("error_class") == "context_length")
+    return rows.where(done)
+
+
 def done_ids(results: DataFrame, retry_failed: bool = False, shard: int | None = None) -> DataFrame:
-    """Distinct ids that need no further request.
+    """Distinct ids that need no further request, of a results table or of plain response rows.
 
-    Ids with a response are done. So are ids whose prompt is too long for the
-    model, which no retry can mend, unless `retry_failed` is set. Reads only the
-    id, status and error class columns; `shard` prunes partitions.
+    Reads only the id, status and error class columns; `shard` prunes partitions.
     """
     if shard is not None:
         results = results.where(F.col("shard") == shard)
     if "status" in results.columns:
-        done = F.col("status") == "ok"
-        if not retry_failed:
-            done = done | (F.col("error_class") == "context_length")
-        results = results.where(done)
+        results = finished(results, retry_failed)
     return results.select("id").distinct()
