@@ -41,11 +41,10 @@ def one_decimal(value: Column | str, thousands: bool = False) -> Column:
 def format_duration(seconds: Column | str) -> Column:
     """`59.9s` below a minute, `1.5m` below an hour, else `6.9h`."""
     seconds = _col(seconds).cast("double")
-    return (
-        F.when(seconds < 60, F.concat(one_decimal(seconds), F.lit("s")))
-        .when(seconds < 3600, F.concat(one_decimal(seconds / 60), F.lit("m")))
-        .otherwise(F.concat(one_decimal(seconds / 3600), F.lit("h")))
-    )
+    short, middle = seconds < 60, seconds < 3600
+    amount = F.when(short, seconds).when(middle, seconds / 60).otherwise(seconds / 3600)
+    unit = F.when(short, "s").when(middle, "m").otherwise("h")
+    return F.concat(one_decimal(amount), unit)
 
 
 def rate_text(value: Column | str, missing: str = "-") -> Column:

@@ -14,8 +14,8 @@ MICROS = 1_000_000
 ORIGINS = ("first_completion", "start")
 
 
-def _per_second(amount: Column, seconds: Column) -> Column:
-    return F.when(seconds > 0, amount / seconds).otherwise(F.lit(0.0))
+def _rate(amount: str, seconds: str) -> str:
+    return f"CASE WHEN {seconds} > 0 THEN {amount} / {seconds} ELSE 0D END"
 
 
 def interval_counts(log: DataFrame, interval_s: int = 60) -> DataFrame:
@@ -64,49 +64,48 @@ def progress(
     if origin not in ORIGINS:
         raise ValueError(f"origin must be one of {ORIGINS}")
     counts = interval_counts(log, interval_s)
-    shard = W.partitionBy("shard")
-    so_far = shard.orderBy("bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
-    first = F.min("first_ok" if origin == "first_completion" else "first_start").over(shard)
-    rows = counts.select(
+    names = ("new", "errors", *TOKENS)
+    so_far = "OVER (PARTITION BY shard ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    first = "first_ok" if origin == "first_completion" else "first_start"
+    rows = counts.selectExpr(
         "shard",
         "bucket",
-        *[F.col(name).alias(f"interval_{name}") for name in ("new", "errors", *TOKENS)],
-        *[F.sum(name).over(so_far).alias(name) for name in ("new", "errors", *TOKENS)],
-        first.alias("origin"),
+        *[f"{name} AS interval_{name}" for name in names],
+        *[f"sum({name}) {so_far} AS {name}" for name in names],
+        f"min({first}) OVER (PARTITION BY shard) AS origin",
     )
     known = totals.select("shard", "total")
     if existing is not None:
         known = known.join(existing.select("shard", "existing"), "shard", "left")
+        known = known.selectExpr("shard", "total", "coalesce(existing, 0L) AS existing")
     else:
-        known = known.withColumn("existing", F.lit(0))
-    rows = rows.join(known.withColumn("existing", F.coalesce("existing", F.lit(0))), "shard")
+        known = known.selectExpr("shard", "total", "0L AS existing")
+    rows = rows.join(known, "shard")
     if origin == "first_completion":
         rows = rows.where("new > 0")
-    length = F.lit(interval_s * MICROS)
-    report = (F.col("bucket") + 1) * length
-    begin = F.greatest(F.col("bucket") * length, F.col("origin"))
-    completed = F.col("new") + F.col("existing") + (F.col("errors") if count_errors else F.lit(0))
-    rows = rows.select(
+    length = interval_s * MICROS
+    report = f"(bucket + 1) * {length}L"
+    begin = f"greatest(bucket * {length}L, origin)"
+    rows = rows.selectExpr(
         "*",
-        (report / MICROS).alias("timestamp"),
-        ((report - F.col("origin")) / MICROS).alias("elapsed_seconds"),
-        ((report - begin) / MICROS).alias("duration_seconds"),
-        completed.cast("bigint").alias("completed"),
+        f"{report} / {MICROS} AS timestamp",
+        f"({report} - origin) / {MICROS} AS elapsed_seconds",
+        f"({report} - {begin}) / {MICROS} AS duration_seconds",
+        f"new + existing + {'errors' if count_errors else '0L'} AS completed",
     )
-    overall, last = F.col("elapsed_seconds"), F.col("duration_seconds")
     amounts = ("new", "total_tokens", "prompt_tokens", "completion_tokens")
-    rates = [_per_second(F.col(a), overall).alias(f"overall_{r}") for a, r in zip(amounts, RATE_NAMES)]
-    rates += [_per_second(F.col(f"interval_{a}"), last).alias(f"interval_{r}") for a, r in zip(amounts, RATE_NAMES)]
-    rows = rows.select("*", *rates)
-    rate = F.col("interval_requests_per_second")
-    eta = F.when(rate > 0, (F.col("total") - F.col("completed")) / rate).otherwise(F.lit(0.0))
-    shards = F.lit(num_shards).cast("int") if num_shards else F.lit(None).cast("int")
-    return (
-        rows.withColumn("eta_seconds", eta)
-        .withColumn("eta_formatted", format_duration("eta_seconds"))
-        .withColumn("num_shards", shards)
-        .drop("origin")
+    rows = rows.selectExpr(
+        "*",
+        *[f"{_rate(a, 'elapsed_seconds')} AS overall_{r}" for a, r in zip(amounts, RATE_NAMES)],
+        *[f"{_rate(f'interval_{a}', 'duration_seconds')} AS interval_{r}" for a, r in zip(amounts, RATE_NAMES)],
+    )
+    rate = "interval_requests_per_second"
+    rows = rows.drop("origin").selectExpr(
+        "*",
+        f"CASE WHEN {rate} > 0 THEN (total - completed) / {rate} ELSE 0D END AS eta_seconds",
+        f"CAST({num_shards if num_shards else 'NULL'} AS INT) AS num_shards",
     )
+    return rows.withColumn("eta_formatted", format_duration("eta_seconds"))
 
 
 def per_hour(rows: DataFrame) -> DataFrame:

@@ -10,7 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 # Requests are slow and must not be sent twice: no speculative copies of a task,
 # and small Arrow batches, so finished rows leave the task early. Task retries stay
 # on: a request task never fails by itself, only with its executor.
-STATIC_CONF = {"spark.speculation": "false"}
+STATIC_CONF = {
+    "spark.speculation": "false",
+    # Recording the call site of every column expression slows plan building.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+}
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
