@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -234,7 +235,7 @@ def _ranges(rows: list[tuple[int, int]], gap: int, most: int) -> Iterator[tuple[
 
 
 def read_records(
-    index: DataFrame, folder: str, gap: int = 1 << 16, most: int = 1 << 23, span: int = 1 << 26, payload: bool = True
+    index: DataFrame, folder: str, gap: int = 1 << 16, most: int = 1 << 23, span: int = 1 << 24, payload: bool = True
 ) -> DataFrame:
     """The records that the index rows name, read as merged byte ranges.
 
@@ -244,7 +245,9 @@ def read_records(
     ship_package(index.sparkSession)
     unit = F.floor(F.col("offset") / span)
     placed = index.select("file", "offset", "length", unit.alias("span"))
-    placed = placed.repartition("file", "span").sortWithinPartitions("file", "offset").drop("span")
+    # by the bytes to read, which the size of the index does not tell
+    tasks = max(1, math.ceil((index.agg(F.sum("length")).first()[0] or 0) / span))
+    placed = placed.repartition(tasks, "file", "span").sortWithinPartitions("file", "offset").drop("span")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = arrow_fs.FileSystem.from_uri(folder)
