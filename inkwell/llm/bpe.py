@@ -49,7 +49,9 @@ UNKNOWN_RANGES = [
     (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479),
     (0x3D000, 0x3FC3F),
 ]
-CACHE_PIECES = 2_000_000
+CACHE_PIECES = 1_000_000
+KNOWN_PAIRS = 1_000_000
+RUN_BYTES = 1 << 19  # some 80 bytes of arrays per byte of text
 _FOREVER = 1 << 60
 
 
@@ -253,6 +255,8 @@ class Tokenizer:
         """
         known = self._compatible.get((a, b))
         if known is None:
+            if len(self._compatible) >= KNOWN_PAIRS:
+                self._compatible.clear()
             left, right = self._edge(a, True), self._edge(b, False)
             i = j = 0
             known = True
@@ -378,23 +382,49 @@ def tokenizer_of(content: str) -> Tokenizer:
     return _tokenizers[content]
 
 
+class _Lists:
+    """Collects runs of ids into one Arrow list column."""
+
+    def __init__(self):
+        self.values, self.offsets, self.total = [], [np.zeros(1, dtype=np.int64)], 0
+
+    def add(self, ids: np.ndarray, places: np.ndarray) -> None:
+        self.values.append(ids.astype(np.int32, copy=False))
+        self.offsets.append(places[1:] + self.total)
+        self.total += len(ids)
+
+    def array(self) -> pa.ListArray:
+        values = np.concatenate(self.values) if self.values else np.zeros(0, dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(self.offsets).astype(np.int32)), pa.array(values))
+
+
+def _texts(data: np.ndarray, places: np.ndarray) -> pa.Array:
+    """The texts of a run of decoded bytes."""
+    raw = data.tobytes()
+    try:
+        raw.decode()  # one check for all, if no text is broken
+    except UnicodeDecodeError:
+        pass
+    else:
+        if not len(data) or not ((data[places[:-1][places[:-1] < len(data)]] & 0xC0) == 0x80).any():
+            offsets = pa.py_buffer(places.astype(np.int32).tobytes())
+            return pa.StringArray.from_buffers(len(places) - 1, offsets, pa.py_buffer(raw))
+    bounds = zip(places[:-1].tolist(), places[1:].tolist(), strict=True)
+    return pa.array([raw[s:e].decode("utf-8", "replace") for s, e in bounds], type=pa.string())
+
+
 def _encoder(vocabulary):
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
-        tokenizer = tokenizer_of(vocabulary.value)
-        all_ids, all_offsets, total = [], [np.zeros(1, dtype=np.int64)], 0
-        for _, _, data, offsets in runs(texts):
-            ids, places = tokenizer.encode_run(data, offsets)
-            all_ids.append(ids.astype(np.int32))
-            all_offsets.append(places[1:] + total)
-            total += len(ids)
-        values = np.concatenate(all_ids) if all_ids else np.zeros(0, dtype=np.int32)
-        return pa.ListArray.from_arrays(pa.array(np.concatenate(all_offsets).astype(np.int32)), pa.array(values))
+        tokenizer, out = tokenizer_of(vocabulary.value), _Lists()
+        for _, _, data, offsets in runs(texts, RUN_BYTES):
+            out.add(*tokenizer.encode_run(data, offsets))
+        return out.array()
 
     return encode
 
 
-def _decoder(vocabulary, most: int = 1 << 19):
+def _decoder(vocabulary, most: int = RUN_BYTES // 4):
     @F.arrow_udf("string")
     def decode(ids: pa.Array) -> pa.Array:
         tokenizer = tokenizer_of(vocabulary.value)
@@ -405,15 +435,29 @@ def _decoder(vocabulary, most: int = 1 << 19):
         while lo < len(ids):
             hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most, "right")) - 1)
             hi = min(hi, len(ids))
-            data, places = tokenizer.decode_run(values[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-            raw = data.tobytes()
-            parts += [raw[s:e].decode("utf-8", "replace") for s, e in zip(places[:-1].tolist(), places[1:].tolist(), strict=True)]
+            parts.append(
+                _texts(*tokenizer.decode_run(values[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]))
+            )
             lo = hi
-        return pa.array(parts, type=pa.string())
+        return pa.concat_arrays(parts) if parts else pa.array([], type=pa.string())
 
     return decode
 
 
+def _both_ways(vocabulary):
+    @F.arrow_udf("struct<ids: array<int>, decoded: string>")
+    def both(texts: pa.Array) -> pa.Array:
+        tokenizer, out, decoded = tokenizer_of(vocabulary.value), _Lists(), []
+        for _, _, data, offsets in runs(texts, RUN_BYTES):
+            ids, places = tokenizer.encode_run(data, offsets)
+            out.add(ids, places)
+            decoded.append(_texts(*tokenizer.decode_run(ids, places)))
+        back = pa.concat_arrays(decoded) if decoded else pa.array([], type=pa.string())
+        return pa.StructArray.from_arrays([out.array(), back], ["ids", "decoded"])
+
+    return both
+
+
 def _vocabulary(spark: SparkSession, path: str):
     ship_package(spark)
     with open(path, encoding="utf-8") as source:
@@ -431,6 +475,11 @@ def decode(df: DataFrame, path: str, ids: str = "ids", to: str = "decoded") -> D
     return df.withColumn(to, _decoder(_vocabulary(df.sparkSession, path))(F.coalesce(df[ids], empty)))
 
 
+def round_trip(df: DataFrame, path: str, text: str = "text", to: str = "tokens") -> DataFrame:
+    """Add a struct of the ids of `text` and the text decoded from them; one pass through Python."""
+    return df.withColumn(to, _both_ways(_vocabulary(df.sparkSession, path))(F.coalesce(df[text], F.lit(""))))
+
+
 def ids_digest(ids: Column) -> Column:
     """SHA-256 of decimal ids joined by commas, in lower-case hex."""
     return F.sha2(F.concat_ws(",", ids.cast("array<string>")), 256)
