@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import bpe, fingerprint, html_text, url_rules, warc
+from inkwell.llm import bpe, fingerprint, html_text, toxicity, url_rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -81,12 +81,12 @@ def byte_bpe_path() -> str:
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again, as digests."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = bpe.decode(bpe.encode(docs, byte_bpe_path()), byte_bpe_path())
+    both = bpe.round_trip(docs, byte_bpe_path())
     return both.select(
         "doc_id",
-        F.size("ids").cast("bigint").alias("n_tokens"),
-        bpe.ids_digest(F.col("ids")).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        F.size("tokens.ids").cast("bigint").alias("n_tokens"),
+        bpe.ids_digest(F.col("tokens.ids")).alias("ids_sha256"),
+        F.sha2(F.col("tokens.decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
 
 
@@ -101,3 +101,16 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edit, and how like they are."""
     return fingerprint.fingerprint_next(table(spark, sf_dir, "documents"))
+
+
+@query("op8_toxicity")
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from labels that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
