@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.words import LOWER_PLUS_ONE, Words, prefix_sums, range_hash, runs, words_of
+from inkwell.llm.words import LOWER_PLUS_ONE, Words, prefix_sums, range_hash, runs, word_bytes, words_of
 from inkwell.sources.shipping import ship_package
 
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1500, 3000
@@ -59,15 +59,21 @@ def batch_of(data: np.ndarray, offsets: np.ndarray, vocabulary: np.ndarray) -> B
         known = vocabulary[at] == distinct
         word[:-1][known] = at[known]
     gram, grams = _grams(words, one)
-    length = np.diff(words.first)
+    return Batch(word, gram, grams, *_windows(which.astype(np.int32), words.first, len(distinct)))
+
+
+def _windows(which: np.ndarray, first: np.ndarray, padding: int) -> tuple[np.ndarray, np.ndarray]:
+    """All overlapping windows of texts over distinct words, and the text of each."""
+    length = np.diff(first)
     count = np.where(length > 0, 1 + np.maximum(0, -(-(length - WINDOW) // STRIDE)), 0)
-    text = np.repeat(np.arange(words.texts), count)
+    text = np.repeat(np.arange(len(length)), count)
     number = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
-    start = words.first[text] + number * STRIDE
-    places = start[:, None] + np.arange(WINDOW)
-    padded = np.append(which, len(distinct))
-    windows = padded[np.where(places < words.first[1:][text][:, None], places, len(words))]
-    return Batch(word, gram, grams, windows, text)
+    start, end = (first[text] + number * STRIDE).astype(np.int32), first[1:][text].astype(np.int32)
+    windows = np.full((len(text), WINDOW), padding, dtype=np.int32)
+    for t in range(WINDOW):
+        inside = start + t < end
+        windows[inside, t] = which[start[inside] + t]
+    return windows, text
 
 
 def _grams(words: Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,11 +132,15 @@ class Network:
 
     def inputs(self, batch: Batch) -> np.ndarray:
         """Vectors of the distinct words; zero for padding."""
-        first = np.cumsum(batch.grams) - batch.grams
+        ends = np.cumsum(batch.grams)
         total = np.zeros((len(batch.grams), SIZE), dtype=np.float32)
-        has = np.flatnonzero(batch.grams)
-        if len(has):
-            total[has] = np.add.reduceat(self.p["gram"][batch.gram], first[has], axis=0)
+        for lo in range(0, len(total), 1 << 14):
+            grams = batch.grams[lo : lo + (1 << 14)]
+            has = np.flatnonzero(grams)
+            if len(has):
+                begin = int(ends[lo] - grams[0])
+                vectors = self.p["gram"][batch.gram[begin : int(ends[lo + len(grams) - 1])]]
+                total[lo + has] = np.add.reduceat(vectors, (np.cumsum(grams) - grams)[has], axis=0)
         return np.concatenate([self.p["word"][batch.word], total / _counts(batch)], axis=1)
 
     def _read(self, gates: np.ndarray, windows: np.ndarray, mask: np.ndarray, way: str, keep: bool):
@@ -244,30 +254,50 @@ class Model:
 def fit(texts: list[str], labels: list[int], weights: tuple[float, float] = (1.0, 1.0), rounds: int = 6) -> Model:
     """Fit the network. `weights`: how many labelled rows a clean and a toxic sampled row stand for."""
     label = np.array(labels, dtype=np.int64)
-    batch_all = list(runs(pa.array(texts, type=pa.string()), 1 << 40))
     network = Network()
     share = weights[1] * label.sum() / max(1e-9, weights[1] * label.sum() + weights[0] * (1 - label).sum())
-    if not batch_all or label.min() == label.max():
+    hashes, lengths, spelled = [], [], {}
+    for _, _, data, offsets in runs(pa.array(texts, type=pa.string()), RUN_BYTES):
+        words = words_of(data, offsets)
+        hashes.append(words.hash)
+        lengths.append(np.diff(words.first))
+        distinct, one = np.unique(words.hash, return_index=True)
+        new = [i for i, h in enumerate(distinct.tolist()) if h not in spelled]
+        spelled |= zip(distinct[new].tolist(), word_bytes(words, one[new]), strict=True)
+    if not spelled or label.min() == label.max():
         prior = float(np.clip(share if len(label) else 0.0, 1e-6, 1 - 1e-6))
         return Model(network, np.zeros(0, dtype=np.uint64), 0.0, float(np.log(prior / (1 - prior))))
-    (_, _, data, offsets), *_ = batch_all
-    words = words_of(data, offsets)
-    distinct, which = np.unique(words.hash, return_inverse=True)
-    pairs = np.unique(words.text_of * len(distinct) + which)  # a word counts once in a text
+    length = np.concatenate(lengths)
+    distinct, which = np.unique(np.concatenate(hashes), return_inverse=True)
+    del hashes
+    text_of = np.repeat(np.arange(len(label)), length)
+    pairs = np.unique(text_of * len(distinct) + which)  # a word counts once in a text
     in_text, in_word = pairs // len(distinct), pairs % len(distinct)
     documents = np.bincount(in_word, minlength=len(distinct))
     toxic = np.bincount(in_word, weights=label[in_text], minlength=len(distinct))
     common = np.sort(np.argsort(-documents, kind="stable")[:WORDS])
     vocabulary = distinct[common]  # ascending, as distinct is
+    word = np.full(len(distinct) + 1, WORDS, dtype=np.int64)
+    word[common] = np.arange(len(common))
+    parts = []  # n-grams of the distinct words, some at a time
+    for lo in range(0, len(distinct), 20_000):
+        listed = b" ".join(spelled[h] for h in distinct[lo : lo + 20_000].tolist())
+        some = words_of(np.frombuffer(listed, dtype=np.uint8), np.array([0, len(listed)]))
+        gram, grams = _grams(some, np.arange(len(some)))
+        parts.append((gram.astype(np.int32), grams[:-1]))
+    del spelled
+    grams = np.append(np.concatenate([p[1] for p in parts]), 0)
+    windows, window_text = _windows(which.astype(np.int32), np.concatenate([[0], np.cumsum(length)]), len(distinct))
+    batch = Batch(word, np.concatenate([p[0] for p in parts]), grams, windows, window_text)
     odds = np.log((toxic + 0.5) / (label.sum() + 1)) - np.log((documents - toxic + 0.5) / ((1 - label).sum() + 1))
-    batch = batch_of(data, offsets, vocabulary)
     # n-grams tell stems apart when whole words are rare
-    gram_owner = np.repeat(np.arange(len(batch.grams)), batch.grams)
+    gram_owner = np.repeat(np.arange(len(batch.grams), dtype=np.int32), batch.grams)
     gram_toxic = np.bincount(batch.gram, weights=np.append(toxic, 0)[gram_owner], minlength=GRAMS)
     gram_documents = np.bincount(batch.gram, weights=np.append(documents, 0)[gram_owner], minlength=GRAMS)
     gram_odds = np.log((gram_toxic + 2) / (gram_documents + 2 / max(label.mean(), 1e-3)))
     word_gram = np.full(len(batch.grams), -20.0)
     np.maximum.at(word_gram, gram_owner, gram_odds[batch.gram])
+    del gram_owner, pairs, in_text, in_word
     start = np.append(odds, -20.0) + word_gram
     guess = start[batch.windows].max(axis=1)
     rng = np.random.default_rng(11)
