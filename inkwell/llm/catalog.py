@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import bpe, fingerprint, html_text, jaccard, toxicity, url_rules, warc
+from inkwell.llm import bpe, fingerprint, html_text, jaccard, language_model, toxicity, url_rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -120,3 +120,9 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size of every document's shingle set and its group of near-copies."""
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@query("op10_language_model")
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every document, by unigram counts and by the trained model."""
+    return language_model.score_documents(table(spark, sf_dir, "documents"))
