@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import bpe, fingerprint, html_text, jaccard, language_model, toxicity, url_rules, warc
+from inkwell.llm import bpe, fingerprint, html_text, jaccard, language_model, line_dedup, toxicity, url_rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -126,3 +126,10 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log-probability of every document, by unigram counts and by the trained model."""
     return language_model.score_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op4_line_dedup")
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that stand, nearly equal, earlier."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs).select("doc_id", "text", "dropped_lines")
