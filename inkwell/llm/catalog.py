@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import bpe, fingerprint, html_text, jaccard, language_model, line_dedup, toxicity, url_rules, warc
+from inkwell.llm import (
+    bpe,
+    decontaminate,
+    fingerprint,
+    html_text,
+    jaccard,
+    language_model,
+    line_dedup,
+    toxicity,
+    url_rules,
+    warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -133,3 +144,13 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that stand, nearly equal, earlier."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs).select("doc_id", "text", "dropped_lines")
+
+
+@query("op6_decontamination")
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages in every document, and whether it has any."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "contaminated", F.col("leaks.item_id").alias("items"), F.size("leaks").cast("bigint").alias("n_leaks")
+    )
