@@ -2,11 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.session import materialize
 
+FOREST_NODES = 500_000
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (root, node) that join what the links of this task join; memory is bounded."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        root = x
+        while parent[root] != root:
+            root = parent[root]
+        while parent[x] != root:
+            parent[x], x = root, parent[x]
+        return root
+
+    def out() -> Iterator[pa.RecordBatch]:
+        pairs = [(find(x), x) for x in parent]
+        pairs = [p for p in pairs if p[0] != p[1]]
+        parent.clear()
+        if pairs:
+            a, b = zip(*pairs, strict=True)
+            yield pa.record_batch([pa.array(a, type=pa.int64()), pa.array(b, type=pa.int64())], names=["a", "b"])
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            parent.setdefault(a, a)
+            parent.setdefault(b, b)
+            x, y = find(a), find(b)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+        if len(parent) > FOREST_NODES:
+            yield from out()
+    yield from out()
+
+
+def spanning(links: DataFrame) -> DataFrame:
+    """Fewer links with the same components.
+
+    Links go to tasks by the smallest neighbour of their larger end, which most links of a dense
+    group share; each task passes on a forest.
+    """
+    ordered = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b")
+    least = ordered.withColumn("least", F.min("a").over(Window.partitionBy("b")))
+    return least.repartition("least").select("a", "b").mapInArrow(_forest, "a bigint, b bigint")
+
 
 def connected(links: DataFrame, name: str = "components") -> DataFrame:
     """(node, root): the smallest node that each node of `links` (a, b) reaches.
@@ -15,8 +63,9 @@ def connected(links: DataFrame, name: str = "components") -> DataFrame:
     so the number of rounds follows the logarithm of the longest path. Each round is a written
     table. A node with very many links is pre-aggregated before its rows are shuffled.
     """
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    edges = materialize(both.where("a != b").distinct(), f"{name}-edges")
+    thin = spanning(links)
+    both = thin.unionByName(thin.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    edges = materialize(both.distinct(), f"{name}-edges")
     labels = materialize(
         edges.groupBy("a").agg(F.min("b").alias("least")).select(
             F.col("a").alias("node"), F.least("a", "least").alias("root")
