@@ -91,13 +91,19 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text, _, words, first = _line_spans(data, offsets)
             asked = batch.column(0).slice(lo, hi - lo)
             counts = asked.value_lengths().to_numpy().astype(np.int64)
-            pick = np.searchsorted(text, np.repeat(np.arange(hi - lo), counts)) + asked.flatten().to_numpy()
+            listed = asked.flatten().to_numpy()
+            kept_half = listed % 4  # 1: the first half, 2: the second, as some other line has it
+            pick = np.searchsorted(text, np.repeat(np.arange(hi - lo), counts)) + listed // 4
             start, end = first[pick], first[pick + 1]
             n = end - start
             sums = prefix_sums(words.hash)
             line = range_hash(sums, start, end)
             owner = np.repeat(np.arange(len(pick)), n)
             place = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+            # the edit is not in a half that is shared; the middle counts as both
+            middle, half = (n - 1)[owner] // 2, kept_half[owner]
+            possible = ((half & 1) > 0) & (place >= middle) | ((half & 2) > 0) & (place <= middle + 2)
+            owner, place = owner[possible], place[possible]
             s, e, p = start[owner], end[owner], start[owner] + place
             # the sum without word p, with the words behind it one place further left
             back = powers(pow(base, -1, 1 << 64), len(sums) + 1)
@@ -110,11 +116,17 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ]
             lists = np.concatenate([np.zeros(2 * len(owner), dtype=np.int64), n])
             offsets_all = pa.array(np.concatenate([[0], np.cumsum(lists)]).astype(np.int32))
-            values = words.hash[p]
+            before = np.cumsum(n) - n
+            values = words.hash[np.repeat(start - before, n) + np.arange(int(n.sum()))]
             columns.append(pa.ListArray.from_arrays(offsets_all, pa.array(as_signed(values))))
             yield pa.record_batch(columns, names=["line", "variant", "kind", "words"])
 
 
+def _sent(rows: DataFrame, small: int) -> DataFrame:
+    """A stored table, sent to every executor if it has at most `small` rows, else joined by a shuffle."""
+    return F.broadcast(rows) if rows.count() <= small else rows
+
+
 def within_one_word(a: pa.Array, b: pa.Array) -> pa.Array:
     """Whether one word changed, added or left out turns one list of words into the other."""
     out = []
@@ -136,48 +148,56 @@ def within_one_word(a: pa.Array, b: pa.Array) -> pa.Array:
 def duplicate_lines(docs: DataFrame, small: int = 1_000_000) -> DataFrame:
     """(key, content, dropped): numbers of the lines that go, of each document that loses any.
 
-    `docs` has (key, content, text). `small`: up to so many candidate lines are sent to every
-    executor to find their texts; more are joined by a shuffle.
+    `docs` has (key, content, text). `small`: key lists of up to so many rows (8 MB of hashes) are sent to every
+    executor; longer ones are joined by a shuffle.
     """
     ship_package(docs.sparkSession)
     lines = materialize(
         docs.select("key", "content", "text").mapInArrow(
-            _rows_of_lines, "key bigint, content bigint, line bigint, number int, halves array<bigint>"
+            _rows_of_lines, "key bigint, content int, line bigint, number int, halves array<bigint>"
         ),
         "lines",
     )
     place = F.struct("key", "content", "number")
-    earliest = materialize(
-        lines.groupBy("line").agg(F.min(place).alias("at"), F.any_value("halves").alias("halves")), "line-places"
+    earliest = materialize(lines.groupBy("line").agg(F.min(place).alias("at")), "line-places")
+    # lines that share a half with another line, and which half
+    halves = lines.select("line", F.posexplode("halves").alias("which", "half"))
+    shared = materialize(
+        halves.groupBy("half").agg(F.min("line").alias("low"), F.max("line").alias("high")).where("low != high")
+        .select("half"),
+        "line-halves",
     )
-    # lines that share a half with another line
-    halves = earliest.select("line", F.explode(F.array_distinct("halves")).alias("half"))
-    shared = halves.groupBy("half").agg(F.min("line").alias("low"), F.max("line").alias("high")).where("low != high")
+    bit = F.when(F.col("which") % 2 == 0, 1).otherwise(2)
     candidates = materialize(
-        halves.join(shared.select("half"), "half", "left_semi").select("line").distinct().join(
-            earliest.select("line", "at"), "line"
-        ),
+        halves.join(_sent(shared, small), "half")
+        .groupBy("line")
+        .agg(F.bit_or(bit).alias("kept"))
+        .join(earliest, "line"),
         "line-candidates",
     )
     asked = candidates.groupBy(F.col("at.key").alias("key"), F.col("at.content").alias("content")).agg(
-        F.sort_array(F.collect_set("at.number")).alias("numbers")
+        F.sort_array(F.collect_set(F.col("at.number") * 4 + F.col("kept"))).alias("numbers")
     )
-    if candidates.count() <= small:
-        asked = F.broadcast(asked)
     emitted = materialize(
-        docs.join(asked, ["key", "content"])
+        docs.join(_sent(asked, small), ["key", "content"])
         .select("numbers", "text")
         .mapInArrow(_variants, "line bigint, variant bigint, kind tinyint, words array<bigint>"),
         "line-variants",
     )
+    rows = emitted.select("line", "variant", "kind")
+    meeting = materialize(
+        rows.groupBy("variant").agg(F.min("line").alias("low"), F.max("line").alias("high")).where("low != high")
+        .select("variant"),
+        "line-meetings",
+    )
+    variants = rows.join(_sent(meeting, small), "variant").distinct().join(candidates.select("line", "at"), "line")
     at = F.struct("at.*", "line")
-    variants = emitted.select("line", "variant", "kind").distinct().join(candidates, "line").withColumn("at", at)
+    variants = variants.withColumn("at", at)
     # Variants that lack a word at one place are within one edit of each other; a shortened line is within
     # one edit of the whole line that it equals, not of other shortened ones.
     first_of = variants.groupBy("variant").agg(
         *[F.min(F.when(F.col("kind") == k, F.col("at"))).alias(f"first_{k}") for k in range(3)],
-        F.count("*").alias("n"),
-    ).where("n > 1").drop("n")
+    )
     before = F.when(F.col("kind") == 0, F.col("first_0")).when(F.col("kind") == 1, F.col("first_2")).otherwise(
         F.col("first_1")
     )
@@ -211,7 +231,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     keyed = docs.withColumns(
         {
             "__key": F.coalesce(docs[doc_id].cast("bigint"), F.lit(_LEAST)),
-            "__content": F.xxhash64(docs[text]),
+            "__content": F.hash(docs[text]),  # tells rows of one id apart
         }
     )
     gone = duplicate_lines(
