@@ -27,6 +27,7 @@ from inkwell.sources.shipping import ship_package
 
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1500, 3000
 WINDOW, STRIDE, AT_ONCE = 32, 16, 2048
+STEPS = 30  # of 256 windows each, a round; whatever the size of the sample
 WORDS, GRAMS = 20_000, 1 << 14
 SIZE, HIDDEN = 8, 8
 THRESHOLD = 0.3
@@ -251,7 +252,13 @@ class Model:
         return best
 
 
-def fit(texts: list[str], labels: list[int], weights: tuple[float, float] = (1.0, 1.0), rounds: int = 6) -> Model:
+def _surplus(toxic: np.ndarray, documents: np.ndarray, share: float) -> np.ndarray:
+    """How far the number of toxic documents with a feature lies above chance, in deviations."""
+    expected = share * documents
+    return (toxic - expected) / np.sqrt(expected + 1)
+
+
+def fit(texts: list[str], labels: list[int], weights: tuple[float, float] = (1.0, 1.0), rounds: int = 8) -> Model:
     """Fit the network. `weights`: how many labelled rows a clean and a toxic sampled row stand for."""
     label = np.array(labels, dtype=np.int64)
     network = Network()
@@ -289,16 +296,19 @@ def fit(texts: list[str], labels: list[int], weights: tuple[float, float] = (1.0
     grams = np.append(np.concatenate([p[1] for p in parts]), 0)
     windows, window_text = _windows(which.astype(np.int32), np.concatenate([[0], np.cumsum(length)]), len(distinct))
     batch = Batch(word, np.concatenate([p[0] for p in parts]), grams, windows, window_text)
-    odds = np.log((toxic + 0.5) / (label.sum() + 1)) - np.log((documents - toxic + 0.5) / ((1 - label).sum() + 1))
+    word_odds = _surplus(toxic, documents, label.mean())
     # n-grams tell stems apart when whole words are rare
     gram_owner = np.repeat(np.arange(len(batch.grams), dtype=np.int32), batch.grams)
     gram_toxic = np.bincount(batch.gram, weights=np.append(toxic, 0)[gram_owner], minlength=GRAMS)
     gram_documents = np.bincount(batch.gram, weights=np.append(documents, 0)[gram_owner], minlength=GRAMS)
-    gram_odds = np.log((gram_toxic + 2) / (gram_documents + 2 / max(label.mean(), 1e-3)))
-    word_gram = np.full(len(batch.grams), -20.0)
+    gram_odds = _surplus(gram_toxic, gram_documents, label.mean())
+    word_gram = np.full(len(batch.grams), -9.0)
     np.maximum.at(word_gram, gram_owner, gram_odds[batch.gram])
+    # vectors start from what the counts say
+    network.p["word"][: len(common), 0] = np.clip(word_odds[common] / 4, -1, 2)
+    network.p["gram"][:, 0] = np.clip(gram_odds / 4, -1, 2)
     del gram_owner, pairs, in_text, in_word
-    start = np.append(odds, -20.0) + word_gram
+    start = np.append(word_odds, -9.0) + word_gram
     guess = start[batch.windows].max(axis=1)
     rng = np.random.default_rng(11)
     fold = rng.random(len(label)) < 0.2
@@ -315,11 +325,10 @@ def fit(texts: list[str], labels: list[int], weights: tuple[float, float] = (1.0
         rank[order] = np.arange(len(order)) - begins
         positive = np.flatnonzero((window_label == 1) & (rank < 1) & ~window_fold)
         clean = np.flatnonzero((window_label == 0) & ~window_fold)
-        hard = clean[np.argsort(-guess[clean], kind="stable")[: len(positive)]]
-        others = rng.permutation(clean)[: 3 * len(positive)]
-        chosen = rng.permutation(np.concatenate([positive, hard, others]))
-        for lo in range(0, len(chosen), 256):
-            at = chosen[lo : lo + 256]
+        hard = clean[np.argsort(-guess[clean], kind="stable")[: max(64, len(positive))]]
+        for _ in range(STEPS if len(positive) and len(clean) else 0):
+            parts = ((positive, 64), (hard, 64), (clean, 128))
+            at = np.concatenate([rng.choice(pool, size) for pool, size in parts])
             step += 1
             windows = batch.windows[at]
             local, inverse = np.unique(windows, return_inverse=True)
@@ -327,14 +336,15 @@ def fit(texts: list[str], labels: list[int], weights: tuple[float, float] = (1.0
             hidden = rng.random(len(small.word)) < 0.3  # some words by their characters only
             small.word = np.where(hidden, WORDS, small.word)
             grads = network.gradients(small, windows, window_label[at], np.ones(len(at), dtype=np.float32))
-            rate = 0.01 if turn < rounds - 2 else 0.003
+            rate = 0.01 if turn < rounds - 3 else 0.003
+            slow = {"word": 0.2, "gram": 0.2}  # few windows see a word: its start counts for more
             for k, grad in grads.items():
                 m, v = moments[k]
                 m *= 0.9
                 m += 0.1 * grad
                 v *= 0.999
                 v += 0.001 * grad * grad
-                network.p[k] -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-6)
+                network.p[k] -= rate * slow.get(k, 1.0) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-6)
     best = model.best_logits(batch, len(label))
     used = (best > -np.inf) & (fold if len(set(label[fold].tolist())) == 2 else True)
     model.slope, model.shift = _calibrate(best[used], label[used], np.where(label[used] == 1, weights[1], weights[0]))
