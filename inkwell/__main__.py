@@ -48,8 +48,8 @@ def validate_data(args) -> int:
         rows, config.api_type, config.input_column_name, config.id_column_name,
         sample=args.sample, completions_kwargs=config.completions_kwargs,
     )
-    report.show(50, truncate=False)
-    preview(rows, args.show, config.input_column_name, config.id_column_name).show(200, truncate=False)
+    _show(report)
+    _show(preview(rows, args.show, config.input_column_name, config.id_column_name))
     return 1 if report.where("severity = 'error' AND bad_rows > 0").count() else 0
 
 
@@ -78,6 +78,11 @@ def run_command(args) -> int:
     return 0
 
 
+def _show(rows) -> None:
+    """Print all rows of a small table."""
+    rows.show(max(1, rows.count()), truncate=False)
+
+
 def status(args) -> int:
     from inkwell.functions.sharding import check_shards
     from inkwell.operators.ledger import completed_shards, shard_ledger
@@ -104,14 +109,14 @@ def status(args) -> int:
     log = request_log(read_results(spark, config.output_path, config.api_type))
     ledger = materialize(shard_ledger(shard_completion(totals, log)), "ledger")
     completed = completed_shards(ledger)
-    ledger.orderBy("shard").show(1000, truncate=False)
+    _show(ledger.orderBy("shard"))
     if args.detailed:
         cutoff = time.time() - args.recent_minutes * 60
         rows = materialize(status_rows(progress(log, totals, args.interval, num_shards=config.num_shards)), "status")
         if shards is not None:
             rows = rows.where(rows.shard.isin(shards))
         stats = shard_stats(rows, cutoff, shards, config.num_shards)
-        shard_board(stats, completed).orderBy("shard").show(1000, truncate=False)
+        _show(shard_board(stats, completed).orderBy("shard"))
         throughput_board(current_throughput(rows, cutoff)).show(truncate=False)
         summary_board(run_summary(rows, completed, cutoff, shards, config.num_shards)).show(truncate=False)
     return 0

@@ -37,8 +37,8 @@ def block_shard(position: Column | str, num_rows: Column | int, num_shards: int)
 
 
 def shard_name(shard: Column | str) -> Column:
-    """`shard000012`."""
-    return F.concat(F.lit("shard"), F.lpad(_col(shard).cast("string"), 6, "0"))
+    """`shard000012`; longer numbers keep all their digits."""
+    return F.format_string("shard%06d", _col(shard).cast("bigint"))
 
 
 def endpoint_for(shard: Column | str, endpoints: list[str]) -> Column:
@@ -54,8 +54,8 @@ def shard_of_job(name: Column | str) -> Column:
 
 def base_job_name(name: Column | str) -> Column:
     """The name without its `-NNNNNN` ending; null for other names."""
-    base = F.regexp_extract(_col(name), r"^(.*)-\d{6}$", 1)
-    return F.when(_col(name).rlike(r"^.*-\d{6}$"), base)
+    base = F.regexp_extract(_col(name), r"^(.*)-\d{6,}$", 1)
+    return F.when(_col(name).rlike(r"^.*-\d{6,}$"), base)
 
 
 def check_shard(shard: int | None, num_shards: int | None) -> None:

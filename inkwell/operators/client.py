@@ -90,13 +90,13 @@ class HttpClient:
 
 
 def _retry_after(headers: dict) -> float | None:
-    """Seconds to wait as the endpoint asks, if it is a short plain number."""
+    """Seconds to wait as the endpoint asks, if it is a plain number; the deadline bounds the wait."""
     value = {k.lower(): v for k, v in headers.items()}.get("retry-after")
     try:
         seconds = float(value)
     except (TypeError, ValueError):
         return None
-    return seconds if 0 <= seconds <= 60 else None
+    return seconds if seconds >= 0 else None
 
 
 class KeepAliveTransport:
@@ -107,6 +107,7 @@ class KeepAliveTransport:
 
     def __call__(self, method: str, url: str, headers: dict, body: bytes, timeout: float) -> tuple[int, dict, bytes]:
         parts = urlsplit(url)
+        end = time.monotonic() + timeout
         pool = self._local.__dict__.setdefault("pool", {})
         key = (parts.scheme, parts.netloc)
         connection = pool.get(key)
@@ -119,13 +120,28 @@ class KeepAliveTransport:
         try:
             connection.request(method, parts.path, body=body, headers=headers)
             response = connection.getresponse()
-            return response.status, dict(response.getheaders()), response.read()
+            return response.status, dict(response.getheaders()), _read_until(response, connection, end)
         except BaseException:
             connection.close()
             pool.pop(key, None)
             raise
 
 
+def _read_until(response, connection, end: float) -> bytes:
+    """The whole body, or a timeout at `end`, however slowly it trickles in."""
+    parts = []
+    while True:
+        left = end - time.monotonic()
+        if left <= 0:
+            raise TimeoutError("the response was not complete in time")
+        if connection.sock is not None:
+            connection.sock.settimeout(left)
+        part = response.read1(1 << 16)
+        if not part:
+            return b"".join(parts)
+        parts.append(part)
+
+
 class HttpClientFactory:
     """Makes a client for an endpoint inside a task."""
 

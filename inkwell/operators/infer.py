@@ -76,12 +76,17 @@ def align(df: DataFrame, config: RunConfig, row_key: Column | None = None) -> Da
         own = [config.id_column_name, config.input_column_name]
         row_key = row_hash(df.select(*own)) if set(own) <= set(df.columns) else row_hash(df)
     if "shard" not in df.columns:
-        df = df.withColumn("shard", hash_shard(config.id_column_name, config.num_shards))
+        df = df.withColumn("shard", _own_shard(config))
     slot = F.pmod(F.xxhash64(row_key), F.lit(config.tasks_per_shard)).cast("int")
     target = F.col("shard") * config.tasks_per_shard + slot
     return df.repartitionById(config.num_shards * config.tasks_per_shard, target)
 
 
+def _own_shard(config: RunConfig) -> Column:
+    """The hash shard; a row without an id goes to the first one, to come out as an error."""
+    return F.coalesce(hash_shard(config.id_column_name, config.num_shards), F.lit(0))
+
+
 def infer(
     df: DataFrame,
     config: RunConfig,
@@ -104,7 +109,7 @@ def infer(
     if not aligned:
         df = align(df, config, row_key)
     elif "shard" not in df.columns:
-        df = df.withColumn("shard", hash_shard(config.id_column_name, config.num_shards))
+        df = df.withColumn("shard", _own_shard(config))
     request = request_body(config.api_type, config.model, config.input_column_name, config.completions_kwargs)
     rows = df.select(
         F.col(config.id_column_name).cast("string").alias("id"),
@@ -186,7 +191,9 @@ class _Sender:
                     while open_requests and (open_requests >= self.in_flight or not finished.empty()):
                         take()
                         open_requests -= 1
-                    if breakers[shard].tripped:
+                    if row_id is None:
+                        out.append(_no_id(shard))
+                    elif breakers[shard].tripped:
                         out.append(_aborted(row_id, shard))
                     else:
                         pool.submit(_send, finished, clients[shard], row_id, shard, request, self.deadline_s)
@@ -217,6 +224,11 @@ def _aborted(row_id: str, shard: int) -> dict[str, Any]:
     return _row(row_id, shard, "aborted", now, now, error_text="not sent: too many consecutive failures")
 
 
+def _no_id(shard: int) -> dict[str, Any]:
+    now = datetime.now(timezone.utc)
+    return _row(None, shard, "error", now, now, "other", "not sent: the row has no id")
+
+
 def _send(finished: queue.SimpleQueue, client: Client, row_id, shard, request, deadline_s: float) -> None:
     started = datetime.now(timezone.utc)
     try:
@@ -239,7 +251,7 @@ def normalise(body: str) -> str:
     """
     response = json.loads(body)
     if not isinstance(response, dict) or not isinstance(response.get("choices"), list):
-        raise ValueError(f"not a response object: {body[:200]}")
+        raise ValueError(f"not a response object: {body}")
     changed = False
     for choice in response["choices"]:
         logprobs = choice.get("logprobs") if isinstance(choice, dict) else None

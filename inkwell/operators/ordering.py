@@ -77,22 +77,23 @@ def file_offsets(df: DataFrame) -> tuple[DataFrame, int]:
     return offsets, len(df.inputFiles())
 
 
-def first_n(df: DataFrame, n: int, order_by: str = "id", large: int = 10_000) -> DataFrame:
-    """The first `n` rows in the order of one column.
+def first_n(df: DataFrame, n: int, order_by: str = "id") -> DataFrame:
+    """The first `n` rows in the order of one column, nulls first.
 
-    A small `n` is a plain top-n. For a large one, the n-th smallest value is
-    found on that column alone, then the rows up to it are kept by a filter, so
-    wide rows are neither sorted nor gathered.
+    The n-th smallest value is found on that column alone, then the rows up to it are
+    kept by a filter, so wide rows are neither sorted nor gathered.
     """
-    if n <= large:
-        return df.orderBy(order_by).limit(n)
+    if n <= 0:
+        return df.limit(0)
     positions = with_position(df.select(order_by), [order_by])
-    limit = positions.where(F.col("position") == n - 1).select(order_by).first()
-    if limit is None:
+    last = positions.where(F.col("position") == n - 1).select(order_by).first()
+    if last is None:
         return df
-    below = df.where(F.col(order_by) < F.lit(limit[0]))
-    ties = df.where(F.col(order_by) == F.lit(limit[0]))
-    return below.unionByName(ties.limit(n - below.count()))
+    column, value = F.col(order_by), last[0]
+    if value is None:
+        return df.where(column.isNull()).limit(n)
+    below = df.where(column.isNull() | (column < F.lit(value)))
+    return below.unionByName(df.where(column == F.lit(value)).limit(n - below.count()))
 
 
 def first_n_in_files(df: DataFrame, n: int) -> DataFrame:

@@ -104,8 +104,10 @@ def check_complete(
     bad = status.where(~F.col("complete") | (F.col("success_ratio") < min_success_ratio))
     shown = bad.orderBy("shard").limit(20).collect()
     if shown:
+        more = bad.count() - len(shown)
         raise IncompleteShardsError(
             "; ".join(f"shard {r.shard}: {r.succeeded} ok, {r.failed} failed of {r.total}" for r in shown)
+            + (f"; and {more} more shards" if more else "")
         )
 
 

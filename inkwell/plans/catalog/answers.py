@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from inkwell.functions.errors import error_class
@@ -463,3 +464,58 @@ def stream_infer(spark, sf_dir):
     annotate_stream(arrivals, document_config(path), StubClient(), scratch_path(spark, "stream-state")).awaitTermination()
     rows = read_responses(spark, path)
     return rows.select("id", content().alias("content"), F.col("response.usage.total_tokens").alias("total_tokens"))
+
+
+SQL_ONE_ANSWER = "SELECT CAST(doc_id AS VARCHAR) AS id, CAST(1 AS BIGINT) AS answers FROM documents"
+
+
+def _answers(spark, path):
+    ok = read_results(spark, path).where("status = 'ok'")
+    return ok.groupBy("id").agg(F.count(F.lit(1)).alias("answers"))
+
+
+@query("stream_recovers", SQL_ONE_ANSWER)
+def stream_recovers(spark, sf_dir):
+    """A stream whose endpoint is down at first: after a restart every document is answered once."""
+    folder, path, state = (scratch_path(spark, name) for name in ("arrivals", "recovered", "stream-state"))
+    docs = documents(spark, sf_dir).select("id", "text")
+    docs.repartitionById(2, hash_shard("id", 2)).write.parquet(folder)
+    config = document_config(path, max_consecutive_failures=3)
+    for client in (StubClient(fail=_refused), StubClient()):
+        arrivals = read_arrivals(spark, folder, docs.schema, max_files_per_trigger=1)
+        try:
+            annotate_stream(arrivals, config, client, state).awaitTermination()
+        except StreamingQueryException as stopped:
+            if "rows not sent" not in str(stopped):
+                raise
+    return _answers(spark, path)
+
+
+@query("rate_limited_then_resumed", SQL_ONE_ANSWER)
+def rate_limited_then_resumed(spark, sf_dir):
+    """A third of the requests meet a rate limit that speaks of tokens; the next run sends them again."""
+    path = scratch_path(spark, "rate-limited")
+    for client in (StubClient(fail=_rate_limited), StubClient()):
+        run(spark, document_config(path), client, documents(spark, sf_dir))
+    return _answers(spark, path)
+
+
+@query(
+    "own_shards_run",
+    "SELECT CAST(doc_id % 4 AS INTEGER) AS shard, count(*) AS answered FROM documents GROUP BY 1",
+)
+def own_shards_run(spark, sf_dir):
+    """A run over an input that brings its own shards; it ends with the completeness check by them."""
+    path = scratch_path(spark, "own-shards")
+    rows = documents(spark, sf_dir).withColumn("shard", (F.col("doc_id") % 4).cast("int"))
+    run(spark, document_config(path), StubClient(), rows)
+    ok = read_results(spark, path).where("status = 'ok'")
+    return ok.groupBy("shard").agg(F.count(F.lit(1)).alias("answered"))
+
+
+def _refused(n: int) -> str:
+    return "Connection refused"
+
+
+def _rate_limited(n: int) -> str | None:
+    return "Error code: 429 - too many tokens per minute" if n % 3 == 0 else None

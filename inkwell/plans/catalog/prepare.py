@@ -93,6 +93,20 @@ def first_documents(spark, sf_dir):
     return head.select("doc_id", "lang", F.md5("text").alias("text_md5"))
 
 
+@query(
+    "first_n_nulls",
+    """
+WITH rows AS (SELECT d.doc_id, l.quality, l.doc_id AS labelled FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)
+SELECT labelled, count(*) AS n FROM (SELECT labelled FROM rows ORDER BY labelled NULLS FIRST LIMIT 700) GROUP BY labelled
+""",
+)
+def first_n_nulls(spark, sf_dir):
+    """The first n rows over a key that is null for most of them."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("doc_id").alias("labelled"))
+    rows = table(spark, sf_dir, "documents").select("doc_id").join(labels, "doc_id", "left")
+    return first_n(rows, 700, "labelled").groupBy("labelled").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "truncate_prompt",
     "SELECT doc_id, CAST(length(substr(text, 1, 2000)) AS INTEGER) AS chars, md5(substr(text, 1, 2000)) AS text_md5 FROM documents",
@@ -398,20 +412,22 @@ def shard_subset(spark, sf_dir):
 @query(
     "shard_names",
     """
-SELECT user_id, 'shard' || lpad(CAST(user_id AS VARCHAR), 6, '0') AS name,
-  'http://host' || CAST(user_id % 3 AS VARCHAR) || ':8000/v1' AS endpoint, CAST(user_id AS INTEGER) AS parsed, 'my-job' AS base
-FROM (SELECT DISTINCT user_id FROM events)
+SELECT shard, printf('shard%06d', shard) AS name,
+  'http://host' || CAST(shard % 3 AS VARCHAR) || ':8000/v1' AS endpoint, CAST(shard AS INTEGER) AS parsed, 'my-job' AS base
+FROM (SELECT DISTINCT unnest([user_id, user_id + 1234567]) AS shard FROM events)
 """,
 )
 def shard_names(spark, sf_dir):
     """Shard names, endpoints of shards, and shard numbers read from job names."""
-    users = table(spark, sf_dir, "events").select("user_id").distinct()
-    job = F.concat(F.lit("my-job-"), F.lpad(F.col("user_id").cast("string"), 6, "0"))
+    users = table(spark, sf_dir, "events").select(
+        F.explode(F.array("user_id", F.col("user_id") + 1234567)).alias("shard")
+    ).distinct()
+    job = F.format_string("my-job-%06d", F.col("shard"))
     endpoints = [f"http://host{i}:8000/v1" for i in range(3)]
     return users.select(
-        "user_id",
-        shard_name("user_id").alias("name"),
-        endpoint_for("user_id", endpoints).alias("endpoint"),
+        "shard",
+        shard_name("shard").alias("name"),
+        endpoint_for("shard", endpoints).alias("endpoint"),
         shard_of_job(job).alias("parsed"),
         base_job_name(job).alias("base"),
     )

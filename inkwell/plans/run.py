@@ -33,6 +33,9 @@ _WAVE = "_wave"
 # (small enough to be broadcast), beyond it once, before the waves are cut.
 SMALL_DONE_BYTES = 10 * 1024 * 1024
 
+# Without a number of waves, results are committed about this often; a request is taken to last so long.
+COMMIT_SECONDS, REQUEST_SECONDS = 1800, 5
+
 # Cut waves by file only with so many files for each, or they would be uneven.
 FILES_PER_WAVE = 4
 
@@ -57,7 +60,7 @@ def run(
     config: RunConfig,
     client_factory: ClientFactory | None = None,
     df: DataFrame | None = None,
-    num_waves: int = 1,
+    num_waves: int | None = None,
     completion: str = "attempted",
     retry_failed: bool = False,
     validate_sample: int | None = None,
@@ -92,6 +95,8 @@ def run(
     done_bytes = 0 if done.isEmpty() else sum(size for _, size in files.list_files(spark, f"{scratch}/done-ids"))
     counts = {"new": 0, "errors": 0, "prompt_tokens": 0, "completion_tokens": 0}
     waves = 0
+    if num_waves is None:
+        num_waves = default_waves(source.count(), config)
     todo_before = num_waves > 1 and done_bytes > SMALL_DONE_BYTES
     rest = pending(source, done, config.id_column_name) if todo_before else source
     for wave, rows in enumerate(_waves(rest, num_waves, f"{scratch}/waves", by_file=not todo_before)):
@@ -106,11 +111,13 @@ def run(
             shards = (
                 read_results(spark, config.output_path, config.api_type)
                 .where((F.col("run_id") == run_id) & (F.col("status") == "aborted"))
-                .select("shard").distinct().orderBy("shard").limit(20).collect()
+                .select("shard").distinct()
             )
+            first = [r.shard for r in shards.orderBy("shard").limit(20).collect()]
+            more = shards.count() - len(first)
             raise BreakerTripped(
                 f"endpoint appears to be down: {aborted} rows not sent in wave {wave}, "
-                f"shards {[r.shard for r in shards]}"
+                f"shards {first}" + (f" and {more} more" if more else "")
             )
         if after_wave:
             after_wave(wave)
@@ -128,10 +135,17 @@ def run(
     return RunSummary(run_id=run_id, waves=waves, seconds=time.time() - began, **counts)
 
 
+def default_waves(rows: int, config: RunConfig) -> int:
+    """Waves for a commit about every `COMMIT_SECONDS`, at `REQUEST_SECONDS` a request on all connections."""
+    per_wave = COMMIT_SECONDS * config.max_connections * config.num_inference_servers // REQUEST_SECONDS
+    return max(1, -(-rows // max(1, per_wave)))
+
+
 def input_totals(source: DataFrame, config: RunConfig) -> DataFrame:
     """Distinct ids per shard of the input; reads the id column only."""
-    ids = source.select(F.col(config.id_column_name).alias("id"))
-    return shard_totals(ids.withColumn("shard", hash_shard("id", config.num_shards)))
+    # The same shard that `align` uses: the input's own, if it brings one.
+    shard = F.col("shard").cast("int") if "shard" in source.columns else hash_shard(config.id_column_name, config.num_shards)
+    return shard_totals(source.select(F.col(config.id_column_name).alias("id"), shard.alias("shard")))
 
 
 def _prepared(rows: DataFrame, config: RunConfig) -> DataFrame:

@@ -9,7 +9,7 @@ from inkwell.functions.sharding import hash_shard
 from inkwell.sources import files
 
 SHARD_FOLDER = r"/shard=(\d+)/[^/]*$"
-SHARD_FILE = r"/shard(\d{6})[^/]*$"
+SHARD_FILE = r"/shard(\d{6,})[^/]*$"
 
 
 def append_results(results: DataFrame, path: str, max_rows_per_file: int | None = None) -> None:

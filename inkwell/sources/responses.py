@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from inkwell.operators.client import RETRY_STATUSES
 from inkwell.schemas import response_ddl, results_schema
 from inkwell.sources import files
 
@@ -33,7 +34,7 @@ def read_response_files(spark: SparkSession, path: str, api_type: str = "chat-co
         .option("pathGlobFilter", "*.parquet")
         .parquet(path)
     )
-    number = F.regexp_extract(F.col("_metadata.file_name"), r"^shard(\d{6})", 1)
+    number = F.regexp_extract(F.col("_metadata.file_name"), r"^shard(\d{6,})", 1)
     return df.withColumn("shard", number.try_cast("int"))
 
 
@@ -41,14 +42,21 @@ def finished(rows: DataFrame, retry_failed: bool = False) -> DataFrame:
     """Attempts after which an id needs no further request.
 
     Those with a response, and those whose prompt is too long for the model,
-    which no retry can mend, unless `retry_failed` is set.
+    which no retry can mend, unless `retry_failed` is set. The HTTP status in front of
+    the error text decides over the words behind it: a rate limit may speak of too many tokens.
     """
     done = F.col("status") == "ok"
     if not retry_failed:
-        done = done | (F.col("error_class") == "context_length")
+        done = done | ((F.col("error_class") == "context_length") & ~passing_failure(F.col("error_text")))
     return rows.where(done)
 
 
+def passing_failure(error_text: Column) -> Column:
+    """Whether the HTTP status at the start of an error text says that another try may succeed."""
+    status = F.regexp_extract(error_text, r"^(?:Error code: )?(\d{3})\b", 1).try_cast("int")
+    return F.coalesce(status.isin(*RETRY_STATUSES) | (status >= 500), F.lit(False))
+
+
 def done_ids(results: DataFrame, retry_failed: bool = False, shard: int | None = None) -> DataFrame:
     """Distinct ids that need no further request, of a results table or of plain response rows.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -11,6 +11,7 @@ from inkwell.config import RunConfig
 from inkwell.operators.infer import ClientFactory, align, infer
 from inkwell.operators.resume import pending
 from inkwell.operators.transforms import apply_named
+from inkwell.plans.run import BreakerTripped
 from inkwell.session import tune
 from inkwell.sinks.tables import append_results
 from inkwell.sources.responses import done_ids, read_results
@@ -41,7 +42,8 @@ def annotate_stream(
     """Send a request for each arriving row without a response, and append the results.
 
     A batch may be run again after a failure; the anti-join then finds what the
-    first try wrote. `done_scope="table"` looks for a batch's ids in the whole
+    first try wrote. A batch whose breaker trips fails the query after its rows are written,
+    and is not committed. `done_scope="table"` looks for a batch's ids in the whole
     output table; `"batch"` only in what the same batch wrote before, for long
     streams whose ids do not come twice. With `available_now` the query ends when
     no file is left.
@@ -60,7 +62,14 @@ def annotate_stream(
         done = done_ids(results).join(own, "id", "left_semi")
         dealt = align(pending(batch, done, config.id_column_name), config)
         todo = apply_named(dealt, config.apply_udf, config.apply_udf_kwargs)
-        append_results(infer(todo, config, client_factory, run_id, batch_id, aligned=True), config.output_path)
+        results = infer(todo, config, client_factory, run_id, batch_id, aligned=True)
+        seen = Observation()
+        append_results(
+            results.observe(seen, F.count_if(F.col("status") == "aborted").alias("aborted")), config.output_path
+        )
+        if aborted := seen.get.get("aborted"):
+            # Not committed: the next start runs this batch again and sends what has no final outcome.
+            raise BreakerTripped(f"endpoint appears to be down: {aborted} rows not sent in batch {batch_id}")
 
     writer = arrivals.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)

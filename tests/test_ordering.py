@@ -67,15 +67,23 @@ def test_unknown_mode(spark, folder):
         with_shard(spark.read.parquet(folder), 3, "random")
 
 
-@pytest.mark.parametrize("n, large", [(0, 10_000), (40, 10_000), (500, 10_000), (1, 0), (40, 0), (100, 0), (500, 0)])
-def test_first_n(spark, folder, n, large):
+@pytest.mark.parametrize("n", [0, 1, 40, 100, 500])
+def test_first_n(spark, folder, n):
     rows = spark.read.parquet(folder)
-    assert sorted(r.id for r in first_n(rows, n, "id", large).collect()) == list(range(min(n, 100)))
+    assert sorted(r.id for r in first_n(rows, n, "id").collect()) == list(range(min(n, 100)))
+
+
+@pytest.mark.parametrize("n", [3, 5, 20, 200])
+def test_first_n_counts_nulls_first(spark, n):
+    rows = spark.createDataFrame([(None,)] * 5 + [(i,) for i in range(95)], "id int")
+    got = [r.id for r in first_n(rows, n, "id").collect()]
+    assert len(got) == min(n, 100) and got.count(None) == min(n, 5)
+    assert sorted(i for i in got if i is not None) == list(range(min(n, 100) - got.count(None)))
 
 
 def test_first_n_keeps_exactly_n_among_ties(spark):
     rows = spark.createDataFrame([(1,)] * 5 + [(2,)] * 50 + [(3,)] * 5, "id int")
-    got = [r.id for r in first_n(rows, 20, "id", large=0).collect()]
+    got = [r.id for r in first_n(rows, 20, "id").collect()]
     assert sorted(got) == [1] * 5 + [2] * 15
 
 

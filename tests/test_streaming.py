@@ -1,5 +1,7 @@
 import os
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from inkwell.config import RunConfig
@@ -65,3 +67,33 @@ def test_throughput_windows(spark, tmp_path):
     got = sorted((r.shard, r.window_start, r.new, r.total_tokens) for r in read_throughput(spark, out).collect())
     assert got == expected
     assert len(os.listdir(out)) >= 2
+
+
+def test_rows_not_sent_are_sent_after_a_restart(spark, tmp_path):
+    folder, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    add(spark, folder, 0, 50)
+    config = RunConfig(
+        api_type="completion", model="m", dataset_path="x", output_path=out, max_connections=1, num_workers=1,
+        max_consecutive_failures=3,
+    )
+
+    def start(client):
+        stream = read_arrivals(spark, folder, SCHEMA, max_files_per_trigger=1)
+        return annotate_stream(stream, config, client, state)
+
+    with pytest.raises(StreamingQueryException, match="rows not sent"):
+        start(StubClient(fail=lambda n: "Connection refused")).awaitTermination()
+    before = read_results(spark, out, "completion")
+    assert before.where("status = 'ok'").count() == 0 and before.where("status = 'aborted'").count() > 0
+    start(StubClient()).awaitTermination()
+    answered = read_results(spark, out, "completion").where("status = 'ok'")
+    assert sorted(int(r.id) for r in answered.collect()) == list(range(50))
+
+
+def test_a_row_without_an_id_becomes_an_error(spark, tmp_path):
+    folder, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    add(spark, folder, 0, 3)
+    spark.createDataFrame([(None, "p")], SCHEMA).write.mode("append").parquet(folder)
+    rows = annotate(spark, folder, out, state).collect()
+    assert sorted((r.status, r.error_text) for r in rows if r.id is None) == [("error", "not sent: the row has no id")]
+    assert sum(r.status == "ok" for r in rows) == 3
