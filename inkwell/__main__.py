@@ -112,7 +112,7 @@ def status(args) -> int:
     _show(ledger.orderBy("shard"))
     if args.detailed:
         cutoff = time.time() - args.recent_minutes * 60
-        rows = materialize(status_rows(progress(log, totals, args.interval, num_shards=config.num_shards)), "status")
+        rows = materialize(status_rows(progress(log, totals, args.interval, num_shards=config.num_shards, fill_gaps=False)), "status")
         if shards is not None:
             rows = rows.where(rows.shard.isin(shards))
         stats = shard_stats(rows, cutoff, shards, config.num_shards)

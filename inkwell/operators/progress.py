@@ -18,16 +18,18 @@ def _rate(amount: str, seconds: str) -> str:
     return f"CASE WHEN {seconds} > 0 THEN {amount} / {seconds} ELSE 0D END"
 
 
-def interval_counts(log: DataFrame, interval_s: int = 60) -> DataFrame:
-    """Outcomes and tokens per shard and interval, without gaps.
+def interval_counts(log: DataFrame, interval_s: int = 60, fill_gaps: bool = True) -> DataFrame:
+    """Outcomes and tokens per shard and interval, without gaps unless `fill_gaps` is off.
 
     The only step that reads the whole log; it aggregates before its shuffle.
     Intervals are whole multiples of `interval_s` since the epoch. Those without
-    a request, between a shard's first and last, are added as zeros.
+    a request, between a shard's first and last, are added as zeros; turn that off for a log of
+    several runs, whose idle time would be filled too. A row without an end counts at its start.
     """
-    micros = F.unix_micros("finished_at")
     ok = F.col("status") == "ok"
+    micros = F.unix_micros("finished_at")
     started = F.unix_micros("started_at") if "started_at" in log.columns else micros
+    micros = F.coalesce(micros, started)
     counts = log.groupBy("shard", F.call_function("div", micros, F.lit(interval_s * MICROS)).alias("bucket")).agg(
         F.count_if(ok).alias("new"),
         F.count_if(F.col("status") == "error").alias("errors"),
@@ -35,6 +37,8 @@ def interval_counts(log: DataFrame, interval_s: int = 60) -> DataFrame:
         F.min(F.when(ok, micros)).alias("first_ok"),
         F.min(started).alias("first_start"),
     )
+    if not fill_gaps:
+        return counts
     # Each interval stands for itself and the empty ones up to the next.
     following = F.lead("bucket").over(W.partitionBy("shard").orderBy("bucket"))
     filled = counts.withColumn("_until", F.coalesce(following, F.col("bucket") + 1) - 1).select(
@@ -53,6 +57,7 @@ def progress(
     num_shards: int | None = None,
     existing: DataFrame | None = None,
     count_errors: bool = True,
+    fill_gaps: bool = True,
 ) -> DataFrame:
     """One row per shard and report interval, as a run would report it.
 
@@ -63,7 +68,7 @@ def progress(
     """
     if origin not in ORIGINS:
         raise ValueError(f"origin must be one of {ORIGINS}")
-    counts = interval_counts(log, interval_s)
+    counts = interval_counts(log, interval_s, fill_gaps)
     names = ("new", "errors", *TOKENS)
     so_far = "OVER (PARTITION BY shard ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     first = "first_ok" if origin == "first_completion" else "first_start"
@@ -102,7 +107,7 @@ def progress(
     rate = "interval_requests_per_second"
     rows = rows.drop("origin").selectExpr(
         "*",
-        f"CASE WHEN {rate} > 0 THEN (total - completed) / {rate} ELSE 0D END AS eta_seconds",
+        f"CASE WHEN {rate} > 0 THEN greatest(total - completed, 0L) / {rate} ELSE 0D END AS eta_seconds",
         f"CAST({num_shards if num_shards else 'NULL'} AS INT) AS num_shards",
     )
     return rows.withColumn("eta_formatted", format_duration("eta_seconds"))

@@ -56,7 +56,7 @@ def compact(
     if len(plan) > MAX_BROADCAST_ROWS:
         raise ValueError("compact fewer shards at a time")
     shards = [p["shard"] for p in plan]
-    old = [r.file_path for r in file_inventory(spark, path).where(F.col("shard").isin(shards)).collect()]
+    old = [files.plain_path(r.file_path) for r in file_inventory(spark, path).where(F.col("shard").isin(shards)).collect()]
     rows_before = sum(p["num_rows"] for p in plan)
     # Partition numbers: each shard owns a run of `target_files` of them.
     first, starts = 0, {}
@@ -85,8 +85,9 @@ def compact(
     merged = spark.read.parquet(staging)
     rows_after = merged.count()
     if rows_after != rows_before:
+        files.delete_folder(spark, staging)
         raise RuntimeError(f"merged files hold {rows_after} rows, expected {rows_before}; table left as it was")
-    new = [(p, p.rsplit("/", 2)[-2]) for p in merged.inputFiles()]
+    new = [(p, p.rsplit("/", 2)[-2]) for p in map(files.plain_path, merged.inputFiles())]
     files.for_each(lambda item: files.move_into(spark, item[0], f"{path.rstrip('/')}/{item[1]}"), new)
     files.for_each(lambda source: files.delete_file(spark, source), old)
     files.delete_folder(spark, staging)

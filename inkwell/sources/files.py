@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 from fnmatch import fnmatch
+from urllib.parse import unquote
 
 from pyspark.sql import SparkSession
 
@@ -83,6 +84,11 @@ def for_each(action, items: list) -> None:
             pass
 
 
+def plain_path(uri: str) -> str:
+    """A path as the file system names it, from the encoded form that Spark's file columns have."""
+    return unquote(uri)
+
+
 def delete_file(spark: SparkSession, path: str) -> None:
     if not _fs(spark, path).delete(_path(spark, path), False):
         raise OSError(f"could not delete {path}")

@@ -9,6 +9,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from inkwell.functions.formatting import epoch_timestamp
 from inkwell.schemas import progress_schema
+from inkwell.sources import files
 
 _BAD = "_corrupt_record"
 
@@ -36,8 +37,15 @@ def flatten_progress(records: DataFrame) -> DataFrame:
 
 
 def read_progress_records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Nested records with the source file and, for a bad line, its text."""
+    """Nested records with the source file and, for a bad line, its text.
+
+    Absent paths are passed over; names with wildcards are left to the reader.
+    """
+    listed = [paths] if isinstance(paths, str) else list(paths)
+    paths = [p for p in listed if any(c in p for c in "*?[{") or files.exists(spark, p)]
     schema = StructType([*progress_schema().fields, StructField(_BAD, StringType())])
+    if not paths:
+        return spark.createDataFrame([], schema).withColumn("file", F.lit(None).cast("string"))
     return (
         spark.read.schema(schema)
         .option("mode", "PERMISSIVE")

@@ -166,3 +166,11 @@ def test_listing_skips_hidden_files(spark, out):
         open(f"{out}/{name}", "w").close()
     assert [n.rsplit("/", 1)[-1] for n, _ in files.list_files(spark, out)] == ["a.parquet"]
     assert files.has_file(spark, out) and not files.has_file(spark, out, "*.orc")
+
+
+def test_compaction_of_a_path_with_a_space(spark, tmp_path):
+    out = str(tmp_path / "a table 100%")
+    wave_files(spark, out)
+    before = table_rows(spark, out)
+    assert compact(spark, out, max_files=5).files_after == 2
+    assert table_rows(spark, out) == before and file_inventory(spark, out).count() == 2

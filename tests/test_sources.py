@@ -184,3 +184,9 @@ def test_jobs(spark, tmp_path):
         snapshot.write_text(text)
         with pytest.raises(ValueError, match="not a list"):
             read_jobs(spark, str(snapshot))
+
+
+def test_absent_progress_files_are_passed_over(spark, tmp_path):
+    from inkwell.sources.progress_log import read_progress_records
+
+    assert read_progress_records(spark, [str(tmp_path / "absent.jsonl")]).count() == 0
