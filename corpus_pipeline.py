@@ -31,7 +31,8 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of every group of near-copies.
 
-    Rows that repeat an id and a text are one document; documents without an id or words stay.
+    Rows that repeat an id and a text are one document, and all rows of an id go or stay together;
+    documents without an id or words stay.
     """
     groups = jaccard.jaccard_components(docs)
     later = groups.where("n_shingles > 0 and component_id != doc_id").select("doc_id").distinct()

@@ -158,6 +158,7 @@ class Block:
             known[1:-1] = np.cumsum(self._known_pairs(hashes, first))
             known[-1] = known[-2]
         text = np.repeat(np.arange(len(length)), length)
+        sums = prefix_sums(hashes)
         left = first[1:][text] - np.arange(len(hashes))  # words from here to the end of the text
         for size, (keys, item) in self.keys.items():
             edits = most_edits(size)
@@ -169,16 +170,32 @@ class Block:
             start = at[(left[at] >= shortest) & (known[end] - known[at] >= least)]
             if not len(start):
                 continue
-            for lo in range(0, len(start), 1 << 14):
-                part = start[lo : lo + (1 << 14)]
+            # equal windows, as copies and junk bring them, are walked once
+            whole = range_hash(sums, start, start + np.minimum(size, left[start]))
+            _, one, which = np.unique(whole, return_index=True, return_inverse=True)
+            hits: Counter = Counter()
+            for lo in range(0, len(one), 1 << 14):
+                part = start[one[lo : lo + (1 << 14)]]
                 asked = walk_keys(_within(hashes, part, left[part], size), np.arange(len(part)) * size, size)
                 place = np.searchsorted(keys, asked, "left")
                 close = keys[np.minimum(place, len(keys) - 1)] == asked
                 for row, column in zip(*np.nonzero(close), strict=True):
                     k = place[row, column]
                     while k < len(keys) and keys[k] == asked[row, column]:
-                        found[text[part[column]]][int(item[k]), int(part[column])] += 1
+                        hits[int(item[k]), lo + int(column)] += 1
                         k += 1
+            if not hits:
+                continue
+            by_window = np.argsort(which, kind="stable")
+            begin = np.searchsorted(which[by_window], np.arange(len(one) + 1))
+            for (i, window), count in hits.items():
+                at = int(start[one[window]])
+                inside = Counter(hashes[at : at + min(size, int(left[at]))].tolist())
+                # words that a window within the bound shares with the item, wherever it ends
+                if (inside & self.members[i]).total() < size - 2 * most_edits(size):
+                    continue
+                for same in start[by_window[begin[window] : begin[window + 1]]].tolist():
+                    found[text[same]][i, same] += count
         out = []
         for t, candidates in enumerate(found):
             lo, hi = int(first[t]), int(first[t + 1])
