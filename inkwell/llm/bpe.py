@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import json
 from collections import OrderedDict
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
@@ -26,6 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from inkwell.llm.words import prefix_sums, range_hash, runs
 from inkwell.sources.shipping import ship_package
@@ -49,8 +51,8 @@ UNKNOWN_RANGES = [
     (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479),
     (0x3D000, 0x3FC3F),
 ]
-CACHE_PIECES = 1_000_000
-KNOWN_PAIRS = 1_000_000
+CACHE_PIECES = 500_000
+KNOWN_PAIRS = 300_000
 RUN_BYTES = 1 << 19  # some 80 bytes of arrays per byte of text
 _FOREVER = 1 << 60
 
@@ -444,16 +446,19 @@ def _decoder(vocabulary, most: int = RUN_BYTES // 4):
     return decode
 
 
-def _both_ways(vocabulary):
-    @F.arrow_udf("struct<ids: array<int>, decoded: string>")
-    def both(texts: pa.Array) -> pa.Array:
-        tokenizer, out, decoded = tokenizer_of(vocabulary.value), _Lists(), []
-        for _, _, data, offsets in runs(texts, RUN_BYTES):
-            ids, places = tokenizer.encode_run(data, offsets)
-            out.add(ids, places)
-            decoded.append(_texts(*tokenizer.decode_run(ids, places)))
-        back = pa.concat_arrays(decoded) if decoded else pa.array([], type=pa.string())
-        return pa.StructArray.from_arrays([out.array(), back], ["ids", "decoded"])
+def _both_ways(vocabulary, text: int, to: str):
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = tokenizer_of(vocabulary.value)
+        for batch in batches:
+            # a batch leaves run by run, so what is held follows the run and not the batch
+            for lo, hi, data, offsets in runs(batch.column(text), RUN_BYTES):
+                out = _Lists()
+                out.add(*tokenizer.encode_run(data, offsets))
+                ids = out.array()
+                back = _texts(*tokenizer.decode_run(ids.values.to_numpy(), offsets=ids.offsets.to_numpy()))
+                tokens = pa.StructArray.from_arrays([ids, back], ["ids", "decoded"])
+                part = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([*part.columns, tokens], names=[*part.schema.names, to])
 
     return both
 
@@ -477,7 +482,10 @@ def decode(df: DataFrame, path: str, ids: str = "ids", to: str = "decoded") -> D
 
 def round_trip(df: DataFrame, path: str, text: str = "text", to: str = "tokens") -> DataFrame:
     """Add a struct of the ids of `text` and the text decoded from them; one pass through Python."""
-    return df.withColumn(to, _both_ways(_vocabulary(df.sparkSession, path))(F.coalesce(df[text], F.lit(""))))
+    rows = df.drop(to)
+    kind = StructType.fromDDL(f"{to} struct<ids: array<int>, decoded: string>")
+    both = _both_ways(_vocabulary(df.sparkSession, path), rows.columns.index(text), to)
+    return rows.mapInArrow(both, StructType([*rows.schema.fields, *kind.fields]))
 
 
 def ids_digest(ids: Column) -> Column:
