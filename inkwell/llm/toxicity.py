@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from inkwell.llm.words import LOWER_PLUS_ONE, Words, prefix_sums, range_hash, runs, word_bytes, words_of
 from inkwell.sources.shipping import ship_package
 
-SAMPLE_TOXIC, SAMPLE_CLEAN = 1500, 3000
+SAMPLE_TOXIC, SAMPLE_CLEAN = 1200, 2400
 WINDOW, STRIDE, AT_ONCE = 32, 16, 2048
 STEPS = 30  # of 256 windows each, a round; whatever the size of the sample
 WORDS, GRAMS = 20_000, 1 << 14
