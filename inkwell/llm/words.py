@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-RUN_BYTES = 1 << 21
+RUN_BYTES = 1 << 20
 
 # White space that ends a word: 0x20 and 0x09 to 0x0D.
 SPACE = np.zeros(256, dtype=bool)
