@@ -8,8 +8,8 @@ words, unknown ones too, have a probability and these add up to one.
 
 Texts are read once into chunks of word numbers with a dictionary each, a written table. Counts
 cover every training text: dictionary rows are summed by word and go back to their chunk. Every
-task trains on the texts of its chunks from a common start, and parameters are averaged;
-the first round warms up on one chunk in eight. The normaliser of all pairs of classes is one table, made by
+task trains on all tokens of the training texts of its chunks from a common start, and parameters are averaged;
+a first round before it warms up on one chunk in eight. The normaliser of all pairs of classes is one table, made by
 batched matrix products.
 
 Defined cases: a null or empty text is the end token alone; unknown words count 0; with no
@@ -32,7 +32,6 @@ from inkwell.session import materialize
 from inkwell.sources.shipping import ship_package
 
 TOP, BUCKETS, SIZE = 512, 512, 16
-THIN = 4  # one token in so many is trained on, the others are its context
 BATCH, NOISE, RATE = 4096, 128, 0.1
 CHUNK_BYTES = 12 << 20
 END = int(mix(np.array([0xE4D], dtype=np.uint64)).view(np.int64)[0])
@@ -271,6 +270,17 @@ def _streams(raw: tuple, stats: Statistics, counts: np.ndarray | None, learned:
     return stream, one, two, is_word, inside, length, tokens, chosen
 
 
+def learn_chunk(model: LogBilinear, chunk: int, held: list[bool], raw: tuple, stats: Statistics) -> int:
+    """Every training token of a chunk is a target once, in random order; returns their number."""
+    random = np.random.default_rng(chunk + 1)
+    stream, one, two, *_, chosen = _streams(raw, stats, None, ~np.array(held, dtype=bool))
+    at = random.permutation(np.flatnonzero(chosen))
+    for lo in range(0, len(at), BATCH):
+        part = at[lo : lo + BATCH]
+        model.learn(stream[part], one[part], two[part], random)
+    return len(at)
+
+
 def train(chunks: DataFrame, stats: Statistics, slots: int = 16) -> LogBilinear:
     """Train on all chunks and average; at most `slots` sums of parameters come to the driver."""
     model = LogBilinear(stats.shares)
@@ -283,14 +293,7 @@ def train(chunks: DataFrame, stats: Statistics, slots: int = 16) -> LogBilinear:
             mine.start()
             for batch in batches:
                 for chunk, held, *raw in zip(*[batch.column(i).to_pylist() for i in range(6)], strict=True):
-                    random = np.random.default_rng(chunk + 1)
-                    stream, one, two, *_, chosen = _streams(tuple(raw), stats, None, ~np.array(held, dtype=bool))
-                    at = np.flatnonzero(chosen)
-                    at = random.permutation(at)[: -(-len(at) // THIN)]
-                    for lo in range(0, len(at), BATCH):
-                        part = at[lo : lo + BATCH]
-                        mine.learn(stream[part], one[part], two[part], random)
-                    seen += len(at)
+                    seen += learn_chunk(mine, chunk, held, tuple(raw), stats)
             if seen:
                 state = (mine.state().astype(np.float64) * seen).tobytes()
                 yield pa.record_batch([pa.array([float(seen)]), pa.array([state])], names=["weight", "state"])

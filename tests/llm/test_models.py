@@ -116,3 +116,25 @@ def test_probabilities_add_up():
     model = language_model.LogBilinear(shares)
     scores = (model.one[3] + model.two[7]) @ model.target.T + model.bias
     assert np.exp(scores - model.normaliser()[3, 7]).sum() == pytest.approx(1, rel=1e-4)
+
+
+def test_every_training_token_is_a_target():
+    rng = np.random.default_rng(2)
+    n_words = np.array([5000, 0, 3000, 700], dtype=np.int32)
+    words = np.arange(1, 101, dtype=np.uint64)
+    tokens = rng.integers(0, 100, n_words.sum()).astype(np.int32)
+    held = [False, False, True, False]
+    zeros = np.zeros(language_model.BUCKETS, dtype=np.int64)
+    stats = language_model.Statistics(1, 1, 3, words, np.ones(100, dtype=np.int64), zeros, zeros)
+    targets = []
+
+    class Recorder:
+        def learn(self, target, one, two, random):
+            assert len(target) == len(one) == len(two) <= language_model.BATCH
+            targets.extend(target.tolist())
+
+    raw = tuple(x.tobytes() for x in (n_words, words, np.zeros(100, dtype=np.int16), tokens))
+    seen = language_model.learn_chunk(Recorder(), 7, held, raw, stats)
+    learned = np.concatenate([tokens[:5000], tokens[8000:]])
+    assert collections.Counter(targets) == collections.Counter([*learned.tolist(), 100, 100, 100])
+    assert seen == len(targets) == 5703
