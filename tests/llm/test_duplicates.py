@@ -140,6 +140,48 @@ def test_decontamination(spark):
     assert decontaminate.find_leaks(df, bench.limit(0)).where("contaminated").count() == 0
 
 
+def beside_the_bound(rng, base, edits):
+    """Words changed, put in or left out at so many different places."""
+    out = list(base)
+    for at in sorted(rng.sample(range(len(base)), edits), reverse=True):
+        new = f"x{rng.randrange(10**6)}"
+        rng.choice([lambda: out.__setitem__(at, new), lambda: out.insert(at, new), lambda: out.pop(at)])()
+    return out
+
+
+@pytest.mark.parametrize("size", [30, 45, 60, 100, 200, 300])
+def test_items_at_the_edit_bound_are_found(size):
+    import numpy as np
+
+    rng = random.Random(size)
+    items = [[f"v{rng.randrange(3000)}" for _ in range(size)] for _ in range(100)]
+    block = decontaminate.Block.of(list(range(100)), [" ".join(x) for x in items])
+    edge = [[f"v{rng.randrange(3000)}" for _ in range(30)] for _ in range(100)]
+    edits = decontaminate.most_edits(size)
+    near = [beside_the_bound(rng, x, edits) for x in items]
+    far = [[f"y{k}" if k % 3 == 0 else w for k, w in enumerate(x)] for x in items]  # a third of the words
+    for inner, least, most in ((near, 0.96, 1.0), (far, 0, 0)):
+        texts = [" ".join([*e, *x, *e]) for e, x in zip(edge, inner, strict=True)]
+        (_, _, data, offsets), = runs(pa.array(texts))
+        hashes, first = decontaminate.plain_words(data, offsets)
+        got = block.leaks(hashes, first)
+        assert least <= sum(i in [x[0] for x in g] for i, g in enumerate(got)) / len(got) <= most
+        for i, spans in enumerate(got):
+            for item, begin, end in spans:
+                found = hashes[first[i] + begin : first[i] + end + 1]
+                assert decontaminate.edit_distances(block.words[item], found)[-1] <= edits
+                assert abs(begin - 30) <= edits and abs(end - 29 - len(inner[i])) <= edits
+
+
+def test_pieces_cover_an_item():
+    for size in range(decontaminate.MIN_WORDS, 400):
+        pieces = decontaminate.pieces_of(size)
+        assert [a + n for a, n in pieces] == [a for a, _ in pieces[1:]] + [size]
+        assert all(decontaminate.MIN_WORDS <= n <= decontaminate.PIECE for _, n in pieces)
+        # more edits than every piece allows are more than the item allows
+        assert sum(decontaminate.most_edits(n) + 1 for _, n in pieces) > decontaminate.most_edits(size)
+
+
 def test_edit_distances_equal_plain_ones():
     import numpy as np
 
