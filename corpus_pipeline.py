@@ -31,13 +31,12 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of every group of near-copies.
 
-    Rows that repeat an id and a text are one document, and all rows of an id go or stay together;
-    documents without an id or words stay.
+    Rows that repeat an id and a text are one document; rows of an id with different texts are told apart by a
+    hash of the text. Documents without an id or words stay.
     """
-    groups = jaccard.jaccard_components(docs)
-    later = groups.where("n_shingles > 0 and component_id != doc_id").select("doc_id").distinct()
-    kept = docs.join(later, "doc_id", "left_anti").select(*docs.columns)
-    return kept.dropDuplicates(["doc_id", "text"])
+    later = jaccard.later_copies(docs).select(F.col("doc_id").alias("__k"), F.col("content").alias("__c"))
+    same = (docs["doc_id"] == F.col("__k")) & (jaccard.content_of(docs["text"]) == F.col("__c"))
+    return docs.join(later, same, "left_anti").dropDuplicates(["doc_id", "text"])
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

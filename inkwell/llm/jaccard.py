@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.llm.components import connected
@@ -100,8 +100,13 @@ def _ordered(hashed: np.ndarray, table: np.ndarray) -> np.ndarray:
     return as_signed(((hashed >> np.uint64(1)) | (common << np.uint64(63))) ^ _TOP)
 
 
+def content_of(text: Column) -> Column:
+    """Tells rows of one id apart."""
+    return F.xxhash64(text)
+
+
 def nodes_of(docs: DataFrame, table) -> DataFrame:
-    """(doc_id, node, n, first): each document's set key, its size and its first shingles in order."""
+    """(doc_id, content, node, n, first): each document's set key, its size and its first shingles in order."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,12 +120,15 @@ def nodes_of(docs: DataFrame, table) -> DataFrame:
                 rank = np.arange(len(text)) - np.repeat(np.cumsum(size) - size, size)
                 prefix = np.where(size > 0, size - -(-PERCENT * size // 100) + 1, 0)
                 kept = rank < np.repeat(prefix, size)
+                ids, contents = (batch.column(i).slice(lo, hi - lo) for i in (0, 2))
                 yield pa.record_batch(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(as_signed(node)), pa.array(size), _lists(key[kept], prefix)],
-                    names=["doc_id", "node", "n", "first"],
+                    [ids, contents, pa.array(as_signed(node)), pa.array(size), _lists(key[kept], prefix)],
+                    names=["doc_id", "content", "node", "n", "first"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(read, "doc_id bigint, node bigint, n bigint, first array<bigint>")
+    return docs.select("doc_id", "text", content_of(docs["text"])).mapInArrow(
+        read, "doc_id bigint, content bigint, node bigint, n bigint, first array<bigint>"
+    )
 
 
 def _pairs_of(shingle, node, n, last) -> list[np.ndarray]:
@@ -348,8 +356,8 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.mapInArrow(read, "node bigint, hashes array<bigint>").dropDuplicates(["node"])
 
 
-def jaccard_components(docs: DataFrame, small: int = 1_000_000) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of `docs` (doc_id, text).
+def labelled(docs: DataFrame, small: int = 1_000_000) -> DataFrame:
+    """(doc_id, content, n, root) of every row of `docs` (doc_id, text); rows of one component share a root.
 
     `small`: up to so many documents (16 bytes each) in candidate groups are sent to every executor
     to pick their texts; more are joined by a shuffle.
@@ -377,11 +385,23 @@ def jaccard_components(docs: DataFrame, small: int = 1_000_000) -> DataFrame:
         .mapInArrow(_multiply, "a bigint, b bigint")
     )
     roots = connected(links, "jaccard-components")
-    labelled = nodes.select("doc_id", "node", "n").join(roots, "node", "left").withColumn(
-        "root", F.coalesce("root", "node")
+    return nodes.select("doc_id", "content", "node", "n").join(roots, "node", "left").select(
+        "doc_id", "content", "n", F.coalesce("root", "node").alias("root")
     )
-    least = labelled.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return labelled.join(least, "root", "left").select(
+
+
+def later_copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, content) of rows of `docs` in whose component there is a smaller (doc_id, content)."""
+    rows = labelled(docs).where("n > 0 and doc_id is not null").withColumn("at", F.struct("doc_id", "content"))
+    least = rows.groupBy("root").agg(F.min("at").alias("least"))
+    return rows.join(least, "root").where("at != least").select("doc_id", "content").distinct()
+
+
+def jaccard_components(docs: DataFrame, small: int = 1_000_000) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of `docs` (doc_id, text); `small` as for `labelled`."""
+    rows = labelled(docs, small).drop("content")
+    least = rows.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
+    return rows.join(least, "root", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"),
