@@ -15,6 +15,7 @@ from inkwell.llm import (
     jaccard,
     language_model,
     line_dedup,
+    merkle,
     toxicity,
     url_rules,
     warc,
@@ -154,3 +155,68 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "contaminated", F.col("leaks.item_id").alias("items"), F.size("leaks").cast("bigint").alias("n_leaks")
     )
+
+
+_MERKLE_SQL = """
+WITH RECURSIVE rows AS (
+  SELECT doc_id, source, text, n_chars, lang,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id::VARCHAR, '-') ||
+    coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') ||
+    coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars::VARCHAR, '-') AS head,
+    list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+      lambda c, b: list_reduce(list_concat([xor(c, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+        lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))) AS crc
+  FROM documents),
+leaves AS (
+  SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    CASE WHEN doc_id IS NOT NULL AND xor(crc, 4294967295) % 2 = 0
+      THEN sha256(head || coalesce(strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), ''), '-'))
+      ELSE sha256(head || coalesce(strlen(text) || ':' || text, '-')) END AS found
+  FROM rows),
+placed AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+    count(*) OVER (PARTITION BY source) AS n, row_number() OVER () AS id FROM leaves),
+up(tree, lvl, pos, n, digest) AS (
+  SELECT source, 0, pos, n, leaf FROM placed
+  UNION ALL
+  SELECT tree, lvl + 1, pos // 3, (max(n) + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos))
+  FROM up WHERE n > 1 GROUP BY tree, lvl, pos // 3),
+tops AS (
+  SELECT tree, digest, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS pos, count(*) OVER () AS n
+  FROM up WHERE n = 1),
+over(lvl, pos, n, digest) AS (
+  SELECT 0, pos, n, digest FROM tops
+  UNION ALL
+  SELECT lvl + 1, pos // 3, (max(n) + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos))
+  FROM over WHERE n > 1 GROUP BY lvl, pos // 3),
+nodes AS (
+  SELECT coalesce(':' || tree, '-') AS tree, lvl, pos, n, digest FROM up
+  UNION ALL SELECT 'root', lvl, pos, n, digest FROM over),
+beside AS (
+  SELECT a.tree, a.lvl, a.pos, a.n, coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS lft,
+    coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS rgt
+  FROM nodes a JOIN nodes b ON a.tree = b.tree AND a.lvl = b.lvl AND a.pos // 3 = b.pos // 3
+  GROUP BY a.tree, a.lvl, a.pos, a.n),
+walk(id, tree, lvl, pos, digest, proof) AS (
+  SELECT id, coalesce(':' || source, '-'), 0, pos, found, '' FROM placed
+  UNION ALL
+  SELECT w.id, w.tree, w.lvl + 1, w.pos // 3, sha256(b.lft || w.digest || b.rgt), w.proof || b.lft || b.rgt
+  FROM walk w JOIN beside b ON w.tree = b.tree AND w.lvl = b.lvl AND w.pos = b.pos WHERE b.n > 1),
+inner_ends AS (SELECT DISTINCT ON (id) id, tree, digest, proof FROM walk ORDER BY id, lvl DESC),
+climb(id, lvl, pos, digest, proof) AS (
+  SELECT e.id, 0, t.pos, e.digest, e.proof FROM inner_ends e JOIN tops t ON e.tree = coalesce(':' || t.tree, '-')
+  UNION ALL
+  SELECT c.id, c.lvl + 1, c.pos // 3, sha256(b.lft || c.digest || b.rgt), c.proof || b.lft || b.rgt
+  FROM climb c JOIN beside b ON b.tree = 'root' AND c.lvl = b.lvl AND c.pos = b.pos WHERE b.n > 1),
+ends AS (SELECT DISTINCT ON (id) id, digest, proof FROM climb ORDER BY id, lvl DESC)
+SELECT k.doc_id, k.leaf, t.digest AS subroot, o.digest AS root, sha256(e.proof) AS proof_sha256,
+  e.digest AS folded_root, e.digest = o.digest AS verified
+FROM placed k JOIN ends e USING (id) JOIN tops t ON k.source IS NOT DISTINCT FROM t.tree
+  CROSS JOIN (SELECT digest FROM over WHERE n = 1) o
+"""
+
+
+@query("op12_merkle", _MERKLE_SQL)
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and proof of every document, and what its proof says of the tampered one."""
+    return merkle.prove(table(spark, sf_dir, "documents"))
