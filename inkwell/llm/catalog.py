@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from inkwell.llm import (
     bpe,
+    collocations,
     decontaminate,
     fingerprint,
     html_text,
@@ -220,3 +221,45 @@ FROM placed k JOIN ends e USING (id) JOIN tops t ON k.source IS NOT DISTINCT FRO
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, subroot, root and proof of every document, and what its proof says of the tampered one."""
     return merkle.prove(table(spark, sf_dir, "documents"))
+
+
+_COLLOCATION_SQL = """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\\x0A-\\x0D]')), '[^\\x20\\x09]+') AS words FROM documents),
+places AS (SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM pieces),
+spans AS (SELECT lang, words, i, unnest(range(1, 6)) AS k FROM places),
+counts AS (
+  SELECT lang, words[i:i + k - 1] AS phrase, count(*) AS f FROM spans WHERE i + k - 1 <= len(words) GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE len(phrase) = 1 GROUP BY lang),
+candidates AS (SELECT * FROM counts WHERE f >= 100 AND len(phrase) > 1),
+cuts AS (SELECT *, unnest(range(1, len(phrase))) AS k FROM candidates),
+scored AS (
+  SELECT c.lang, c.phrase, c.k, c.f AS a, x.f AS l, y.f AS r, t.n,
+    ((1000::HUGEINT * c.f * t.n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cuts c JOIN totals t ON c.lang = t.lang
+    JOIN counts x ON x.lang = c.lang AND x.phrase = c.phrase[1:c.k]
+    JOIN counts y ON y.lang = c.lang AND y.phrase = c.phrase[c.k + 1:]),
+weakest AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS place FROM scored),
+inner_ends AS (SELECT lang, phrase, f, unnest(range(1, len(phrase))) AS i FROM candidates WHERE len(phrase) > 2),
+inner_parts AS (SELECT lang, phrase, f, i, unnest(range(2, len(phrase))) AS k FROM inner_ends),
+inside AS (
+  SELECT lang, phrase[i:i + k - 1] AS part, max(f) AS most FROM inner_parts
+  WHERE i + k - 1 <= len(phrase) GROUP BY ALL),
+ranked AS (
+  SELECT w.lang, array_to_string(w.phrase, ' ') AS phrase, a, l, r, n, score
+  FROM weakest w LEFT JOIN inside m ON m.lang = w.lang AND m.part = w.phrase
+  WHERE place = 1 AND (m.most IS NULL OR 100 * m.most < 100 * a))
+SELECT * FROM (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank,
+    phrase, a, l, r, n, score FROM ranked)
+WHERE rank <= 2000
+"""
+
+
+@query("op11_collocations", _COLLOCATION_SQL)
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 phrases of every language whose words belong together most."""
+    return collocations.mine(table(spark, sf_dir, "documents").select("lang", "text"))
