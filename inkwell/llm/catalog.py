@@ -17,6 +17,7 @@ from inkwell.llm import (
     language_model,
     line_dedup,
     merkle,
+    secret_scan,
     toxicity,
     url_rules,
     warc,
@@ -263,3 +264,26 @@ WHERE rank <= 2000
 def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 2,000 phrases of every language whose words belong together most."""
     return collocations.mine(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+@query("op13_secret_scan")
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document, by the rules and by the network learned from their findings."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scanned = secret_scan.scan(docs, secret_scan.train(docs))
+
+    def joined(kinds: tuple[str, ...]):
+        rules = F.filter("secrets", lambda s: s["kind"].isin(*kinds))
+        return F.array_join(F.transform(rules, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    kinds = secret_scan.KINDS
+    counts = [
+        F.size(F.filter("secrets", lambda s, kind=kind: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+        for kind in kinds
+    ]
+    return scanned.select(
+        "doc_id",
+        *counts,
+        F.sha2(joined(kinds), 256).alias("base_sha256"),
+        joined((*kinds, secret_scan.NETWORK)).alias("spans"),
+    )
