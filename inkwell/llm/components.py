@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from inkwell.session import materialize
 
 FOREST_NODES = 500_000
+LINKS_PER_TASK = 50_000
+_LINK = "a bigint, b bigint"
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -45,15 +47,24 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out()
 
 
-def spanning(links: DataFrame) -> DataFrame:
+def spanning(links: DataFrame, name: str = "components") -> DataFrame:
     """Fewer links with the same components.
 
     Links go to tasks by the smallest neighbour of their larger end, which most links of a dense
-    group share; each task passes on a forest.
+    group share; each task passes on a forest. A dense group that many tasks saw a part of is thinned again, by
+    fewer tasks each time, until a pass leaves most links in place.
     """
     ordered = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b")
     least = ordered.withColumn("least", F.min("a").over(Window.partitionBy("b")))
-    return least.repartition("least").select("a", "b").mapInArrow(_forest, "a bigint, b bigint")
+    thin = materialize(least.repartition("least").select("a", "b").mapInArrow(_forest, _LINK), f"{name}-thin")
+    many = thin.count()
+    while many > LINKS_PER_TASK // 10:
+        packed = thin.coalesce(-(-many // LINKS_PER_TASK)).mapInArrow(_forest, _LINK)
+        thin = materialize(packed.distinct(), f"{name}-thin")
+        before, many = many, thin.count()
+        if 10 * many > 7 * before:
+            break
+    return thin
 
 
 def connected(links: DataFrame, name: str = "components") -> DataFrame:
@@ -63,7 +74,7 @@ def connected(links: DataFrame, name: str = "components") -> DataFrame:
     so the number of rounds follows the logarithm of the longest path. Each round is a written
     table. A node with very many links is pre-aggregated before its rows are shuffled.
     """
-    thin = spanning(links)
+    thin = spanning(links, name)
     both = thin.unionByName(thin.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges = materialize(both.distinct(), f"{name}-edges")
     labels = materialize(
