@@ -200,10 +200,10 @@ def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def candidate_links(nodes: DataFrame) -> DataFrame:
     """(a, b) that may link, or lie in one chain of a large bucket."""
-    reps = nodes.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     first = (
         nodes.where("n > 0")
-        .join(reps, ["node", "doc_id"])
+        .select("node", "n", "first")
+        .dropDuplicates(["node"])  # equal sets have equal first shingles
         .select("node", "n", "first", F.element_at("first", -1).alias("last"))
         .select(F.explode("first").alias("shingle"), "node", "n", "last")
     )
@@ -338,7 +338,7 @@ def _multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, hashes) of the wanted (doc_id, node)."""
+    """(node, hashes) of the wanted (doc_id, content, node); ids may be null."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -352,14 +352,15 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     [pa.array(node[right]), _lists(as_signed(hashed[right[text]]), size[right])], names=["node", "hashes"]
                 )
 
-    rows = docs.select("doc_id", "text").join(wanted, "doc_id").select("doc_id", "node", "text")
+    same = docs["doc_id"].eqNullSafe(F.col("want_id")) & (content_of(docs["text"]) == F.col("want_content"))
+    rows = docs.join(wanted, same).select("doc_id", "node", "text")
     return rows.mapInArrow(read, "node bigint, hashes array<bigint>").dropDuplicates(["node"])
 
 
 def labelled(docs: DataFrame, small: int = 1_000_000) -> DataFrame:
     """(doc_id, content, n, root) of every row of `docs` (doc_id, text); rows of one component share a root.
 
-    `small`: up to so many documents (16 bytes each) in candidate groups are sent to every executor
+    `small`: up to so many documents (24 bytes each) in candidate groups are sent to every executor
     to pick their texts; more are joined by a shuffle.
     """
     spark = docs.sparkSession
@@ -368,11 +369,15 @@ def labelled(docs: DataFrame, small: int = 1_000_000) -> DataFrame:
     table = spark.sparkContext.broadcast(common_shingles(docs))
     nodes = materialize(nodes_of(docs, table), "jaccard-nodes")
     candidates = connected(candidate_links(nodes), "jaccard-candidates")
-    named = nodes.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))
+    named = nodes.groupBy("node").agg(F.min(F.struct("doc_id", "content")).alias("at"), F.min("n").alias("n"))
     groups = materialize(
-        candidates.join(named, "node").select("node", "doc_id", "n", F.col("root").alias("group")), "jaccard-groups"
-    )
-    wanted = groups.select("doc_id", "node")
+        candidates.join(named, "node").select(
+            "node", F.col("at.doc_id").alias("want_id"), F.col("at.content").alias("want_content"), "n",
+            F.col("root").alias("group"),
+        ),
+        "jaccard-groups",
+    )
+    wanted = groups.select("want_id", "want_content", "node")
     if groups.count() <= small:
         wanted = F.broadcast(wanted)
     sets = _sets_of(docs, wanted)
