@@ -12,8 +12,9 @@ only lines that share a half with another line emit variants. All keys are pre-a
 key needs its earliest line only, so a passage in a third of all documents is one row per task.
 
 Defined cases: a null text stays null; an empty text has no lines to compare; empty and blank lines stay;
-line ends are `\\n` alone; a document whose lines all go has an empty text; rows that repeat an id count as one place
-each, in order of their text; a null id comes first.
+line ends are `\\n` alone; a document whose lines all go has an empty text; a null id comes first; rows that share an id, or
+have none, are documents of their own, in an order that their places in the files decide, equal rows included: the later ones
+lose what the first one keeps.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -154,7 +156,7 @@ def duplicate_lines(docs: DataFrame, small: int = 1_000_000) -> DataFrame:
     ship_package(docs.sparkSession)
     lines = materialize(
         docs.select("key", "content", "text").mapInArrow(
-            _rows_of_lines, "key bigint, content int, line bigint, number int, halves array<bigint>"
+            _rows_of_lines, "key bigint, content bigint, line bigint, number int, halves array<bigint>"
         ),
         "lines",
     )
@@ -226,13 +228,24 @@ def duplicate_lines(docs: DataFrame, small: int = 1_000_000) -> DataFrame:
     return gone.groupBy("key", "content").agg(F.sort_array(F.collect_set("number")).alias("dropped"))
 
 
+def with_row_key(docs: DataFrame, text: str, to: str) -> DataFrame:
+    """`docs` with a number of every row: a hash of its text, its file and its place there, the same in every scan.
+
+    A frame that no files stand behind is written first.
+    """
+    number = F.xxhash64("_metadata.file_path", "_metadata.row_index", docs[text])
+    try:
+        placed = docs.select("*", number.alias(to))
+        placed.schema  # noqa: B018, resolves the columns
+    except AnalysisException:
+        return with_row_key(materialize(docs, "line-documents"), text, to)
+    return placed
+
+
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """`docs` with repeated lines taken out of `text`, and `dropped_lines`, how many went."""
-    keyed = docs.withColumns(
-        {
-            "__key": F.coalesce(docs[doc_id].cast("bigint"), F.lit(_LEAST)),
-            "__content": F.hash(docs[text]),  # tells rows of one id apart
-        }
+    keyed = with_row_key(docs, text, "__content").withColumn(
+        "__key", F.coalesce(F.col(doc_id).cast("bigint"), F.lit(_LEAST))
     )
     gone = duplicate_lines(
         keyed.select(
