@@ -73,6 +73,25 @@ def test_line_dedup(spark, lined, small, monkeypatch):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_rows_without_an_id_and_equal_rows_are_documents_of_their_own(spark):
+    """Of near-equal lines in rows that share an id or have none, one stays, whatever their hashes."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(300):
+        line = " ".join(rng.choice("abcdefghij") + str(i) for _ in range(10))
+        own = " ".join(f"own{i}x{k}" for k in range(9))
+        rows += [(None, f"{line}\n{own}a"), (None, f"{line} more\n{own}b\nshort line")]
+    rows += [(7, "same row " * 4), (7, "same row " * 4), (None, "no id at all " * 3), (None, "no id at all " * 3)]
+    got = [r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(got) == len(rows)
+    lines = [line for text in got for line in text.split("\n")]
+    for i in range(300):
+        assert sum(f" a{i} " in f" {line} " or re.search(rf"\b[a-j]{i}\b", line) is not None for line in lines) == 1
+        assert sum(f"own{i}x0 " in line for line in lines) == 1
+    assert lines.count("same row " * 4) == 1 and lines.count("no id at all " * 3) == 1
+    assert lines.count("short line") == 300
+
+
 def brute_components(rows):
     sets = []
     for _, text in rows:
@@ -90,8 +109,35 @@ def brute_components(rows):
             root[find(b)] = find(a)
     least = {}
     for i, (doc_id, _) in enumerate(rows):
-        least[find(i)] = min(least.get(find(i), doc_id), doc_id)
-    return sorted((d, len(sets[i]), least[find(i)] if sets[i] else d) for i, (d, _) in enumerate(rows))
+        if doc_id is not None:
+            least[find(i)] = min(least.get(find(i), doc_id), doc_id)
+    return sorted(
+        ((d, len(sets[i]), least.get(find(i)) if sets[i] else d) for i, (d, _) in enumerate(rows)), key=repr
+    )
+
+
+def test_jaccard_components_of_rows_without_an_id(spark):
+    rng = random.Random(2)
+    bases = [[f"w{rng.randrange(300)}" for _ in range(60)] for _ in range(8)]
+    rows = [(None if i % 3 else i, " ".join(noisy(rng, bases[i % 8], rng.choice([0, 1, 1, 2])))) for i in range(160)]
+    rows += [(None, " ".join(bases[1])), (None, " ".join(bases[1])), (500, " ".join(bases[2])), (None, "only without ids here ok")]
+    rows += [(None, "only without ids here ok"), (None, ""), (None, None), (3, rows[0][1]), (3, rows[0][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for small in (1_000_000, 0):
+        got = [tuple(r) for r in jaccard.jaccard_components(df, small=small).collect()]
+        assert sorted(got, key=repr) == brute_components(rows)
+
+
+@pytest.mark.parametrize("per_task", [10, 50_000])
+def test_spanning_keeps_components_of_a_dense_group(spark, per_task, monkeypatch):
+    monkeypatch.setattr(components, "LINKS_PER_TASK", per_task)
+    rng = random.Random(4)
+    pairs = [tuple(rng.sample(range(400), 2)) for _ in range(20_000)] + [(1000 + i, 1001 + i) for i in range(0, 60, 2)]
+    links = spark.createDataFrame(pairs, "a long, b long")
+    thin = components.spanning(links)
+    assert thin.count() <= 2 * 460
+    got = {r["node"]: r["root"] for r in components.connected(links).collect()}
+    assert {got[i] for i in range(400)} == {0} and all(got[1001 + i] == 1000 + i for i in range(0, 60, 2))
 
 
 @pytest.mark.parametrize("bucket, block", [(64, 1 << 22), (4, 400)])
@@ -104,7 +150,7 @@ def test_jaccard_components(spark, bucket, block, monkeypatch):
     rows += [(900 + i, " ".join(noisy(rng, bases[1], 2))) for i in range(150)]
     rows += [(300, ""), (301, None), (302, "A b"), (303, "a B"), (304, bases[0][0]), (5, rows[9][1]), (5, rows[5][1])]
     df = spark.createDataFrame([(a, b, 1) for a, b in rows], "doc_id long, text string, n int")
-    got = sorted(tuple(r) for r in jaccard.jaccard_components(df).collect())
+    got = sorted((tuple(r) for r in jaccard.jaccard_components(df).collect()), key=repr)
     assert got == brute_components(rows)
     assert jaccard.jaccard_components(df, small=0).count() == len(rows)
     assert jaccard.jaccard_components(df.limit(0)).count() == 0
