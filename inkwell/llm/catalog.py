@@ -276,14 +276,13 @@ def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         rules = F.filter("secrets", lambda s: s["kind"].isin(*kinds))
         return F.array_join(F.transform(rules, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
+    def counted(kind: str):
+        return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
     kinds = secret_scan.KINDS
-    counts = [
-        F.size(F.filter("secrets", lambda s, kind=kind: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
-        for kind in kinds
-    ]
     return scanned.select(
         "doc_id",
-        *counts,
+        *[counted(kind) for kind in kinds],
         F.sha2(joined(kinds), 256).alias("base_sha256"),
         joined((*kinds, secret_scan.NETWORK)).alias("spans"),
     )

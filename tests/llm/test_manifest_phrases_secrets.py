@@ -311,3 +311,18 @@ def test_without_findings_or_rows_the_rules_stand_alone(spark):
         df = spark.createDataFrame(rows, schema)
         got = secret_scan.scan(df, secret_scan.train(df)).collect()
         assert [[(s.start, s.end, s.kind) for s in r.secrets] for r in got] == [plain_spans(t or "") for _, t in rows]
+
+
+def test_the_query_digests_its_spans(spark, tmp_path):
+    from inkwell.llm.catalog import op13_secret_scan
+
+    rows = [(i, t) for i, t in enumerate(TRICKY + random_texts(60) + [t for _, t in secret_rows()[0][:120]])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in op13_secret_scan(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    for doc_id, text in rows:
+        spans, row = plain_spans(text or ""), got[doc_id]
+        assert [row.n_assign, row.n_access, row.n_hex] == [sum(s[2] == k for s in spans) for k in secret_scan.KINDS]
+        listed = [f"{k}:{a}:{b}" for a, b, k in spans]
+        assert row.base_sha256 == H(",".join(listed))
+        assert [s for s in row.spans.split(",") if s and not s.startswith("network")] == listed
