@@ -21,7 +21,11 @@ PATHS = {"chat-completion": "/chat/completions", "completion": "/completions"}
 
 
 class RequestFailed(Exception):
-    """The endpoint did not give a usable response."""
+    """The endpoint did not give a usable response; `status` is its HTTP status, if it gave any."""
+
+    def __init__(self, message: str = "", status: int | None = None) -> None:
+        super().__init__(message)
+        self.status = status
 
 
 class DeadlineExceeded(Exception):
@@ -72,7 +76,7 @@ class HttpClient:
             else:
                 if 200 <= status < 300:
                     return answer.decode("utf-8")
-                failure = RequestFailed(f"Error code: {status} - {answer.decode('utf-8', 'replace')}")
+                failure = RequestFailed(f"Error code: {status} - {answer.decode('utf-8', 'replace')}", status)
                 if status not in RETRY_STATUSES and status < 500:
                     raise failure
                 wait = _retry_after(headers)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import queue
+import re
 import uuid
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -31,6 +32,7 @@ ATTEMPT_ARROW = pa.schema(
         ("status", pa.string()),
         ("error_class", pa.string()),
         ("error_text", pa.string()),
+        ("http_status", pa.int32()),
         ("started_at", pa.timestamp("us", tz="UTC")),
         ("finished_at", pa.timestamp("us", tz="UTC")),
         ("body", pa.string()),
@@ -140,6 +142,7 @@ def typed_results(attempts: DataFrame, api_type: str, run_id: str, wave: int) ->
         "status",
         "error_class",
         "error_text",
+        "http_status",
         "started_at",
         "finished_at",
         F.from_json("body", response_ddl(api_type)).alias("response"),
@@ -215,8 +218,10 @@ def _batch(rows: list[dict[str, Any]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({name: [row[name] for row in rows] for name in _COLUMNS}, schema=ATTEMPT_ARROW)
 
 
-def _row(row_id, shard, status, started, finished, error_class=None, error_text=None, body=None) -> dict[str, Any]:
-    return dict(zip(_COLUMNS, (row_id, shard, status, error_class, error_text, started, finished, body)))
+def _row(
+    row_id, shard, status, started, finished, error_class=None, error_text=None, body=None, http_status=None
+) -> dict[str, Any]:
+    return dict(zip(_COLUMNS, (row_id, shard, status, error_class, error_text, http_status, started, finished, body)))
 
 
 def _aborted(row_id: str, shard: int) -> dict[str, Any]:
@@ -229,6 +234,15 @@ def _no_id(shard: int) -> dict[str, Any]:
     return _row(None, shard, "error", now, now, "other", "not sent: the row has no id")
 
 
+def http_status_of(error: Exception, text: str) -> int | None:
+    """The HTTP status of a failed request, as the client says it or at the start of its message."""
+    status = getattr(error, "status", None)
+    if isinstance(status, int):
+        return status
+    found = re.match(r"(?:Error code: )?(\d{3})\b", text)
+    return int(found[1]) if found else None
+
+
 def _send(finished: queue.SimpleQueue, client: Client, row_id, shard, request, deadline_s: float) -> None:
     started = datetime.now(timezone.utc)
     try:
@@ -239,7 +253,9 @@ def _send(finished: queue.SimpleQueue, client: Client, row_id, shard, request, d
     except Exception as error:  # noqa: BLE001 - every failure becomes a row
         text = str(error) or type(error).__name__
         kind = classify(text, isinstance(error, DeadlineExceeded))
-        row = _row(row_id, shard, "error", started, datetime.now(timezone.utc), kind, text)
+        row = _row(
+            row_id, shard, "error", started, datetime.now(timezone.utc), kind, text, http_status=http_status_of(error, text)
+        )
     finished.put(row)
 
 

@@ -21,6 +21,7 @@ def request_log(results: DataFrame) -> DataFrame:
         "status",
         "error_class",
         "error_text",
+        *[c for c in ("http_status",) if c in results.columns],
         "started_at",
         "finished_at",
         *[usage[name].alias(name) for name in TOKENS],

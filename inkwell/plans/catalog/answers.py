@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.errors import StreamingQueryException
+import time
+
+from pyspark.errors import PySparkException, StreamingQueryException
 from pyspark.sql import functions as F
 
 from inkwell.functions.errors import error_class
@@ -500,6 +502,40 @@ def rate_limited_then_resumed(spark, sf_dir):
     return _answers(spark, path)
 
 
+@query(
+    "wave_salvage",
+    """
+SELECT CAST(doc_id AS VARCHAR) AS id, CAST(1 AS BIGINT) AS answers, max(n_chars) OVER () > 0 AS some_kept FROM documents
+""",
+)
+def wave_salvage(spark, sf_dir):
+    """A wave whose last task dies keeps what the others answered; the next run sends the rest, each document once."""
+    path = scratch_path(spark, "salvaged")
+    docs = documents(spark, sf_dir)
+    config = document_config(path, api_base_url=",".join(f"http://host-{i}/v1" for i in range(NUM_SHARDS)))
+    try:
+        run(spark, config, _FailsAt("http://host-0/v1"), docs, num_waves=1)
+    except PySparkException as died:
+        if "no such host" not in str(died):
+            raise
+    kept = read_results(spark, path).where("status = 'ok'").count()
+    run(spark, config, StubClient(), docs, num_waves=1)
+    return _answers(spark, path).withColumn("some_kept", F.lit(kept > 0))
+
+
+class _FailsAt:
+    """Fails the task that asks for one endpoint, once the others have had time to finish."""
+
+    def __init__(self, endpoint: str) -> None:
+        self.endpoint = endpoint
+
+    def __call__(self, endpoint: str):
+        if endpoint == self.endpoint:
+            time.sleep(3)
+            raise ValueError(f"no such host: {endpoint}")
+        return StubClient()
+
+
 @query(
     "own_shards_run",
     "SELECT CAST(doc_id % 4 AS INTEGER) AS shard, count(*) AS answered FROM documents GROUP BY 1",

@@ -26,6 +26,7 @@ from inkwell.plans.catalog.shared import (
 )
 from inkwell.session import scratch_path
 from inkwell.sinks.tables import save_prepared
+from inkwell.sinks.task_files import append_task_files
 from inkwell.sources.inputs import describe_input, load_input
 
 OPTIONS = {
@@ -51,6 +52,20 @@ def input_description(spark, sf_dir):
     return describe_input(table(spark, sf_dir, "documents")).select("num_rows", "num_files", "num_columns")
 
 
+@query(
+    "load_arrow",
+    "SELECT doc_id, n_chars FROM documents WHERE lang = 'en' AND source IN ('src1', 'src2') AND n_chars > 100",
+)
+def load_arrow(spark, sf_dir):
+    """Documents saved as Arrow files by tasks, read back with columns and filter inside the source."""
+    path = scratch_path(spark, "arrow")
+    docs = table(spark, sf_dir, "documents")
+    if not append_task_files(docs, path, "arrow"):
+        raise RuntimeError(f"tasks cannot write to {path}")
+    where = "lang = 'en' AND source IN ('src1', 'src2') AND n_chars > 100"
+    return load_input(spark, "arrow", path, columns=["doc_id", "n_chars"], where=where)
+
+
 @query(
     "load_formats",
     """

@@ -73,8 +73,8 @@ def run(
     """Send every row of the input that has no response yet, and append the results.
 
     Each wave is one Spark job that ends in a committed append, so a stopped run
-    loses at most one wave and starts again where it was. The requests of a wave
-    run in its last stage, which also writes them: nothing is shuffled after a
+    loses at most one wave and starts again where it was. A wave that fails keeps what its finished tasks
+    wrote. The requests of a wave run in its last stage, which also writes them: nothing is shuffled after a
     request, so a lost executor cannot undo a finished task.
     """
     tune(spark)
@@ -166,7 +166,7 @@ def _write_wave(
         F.sum(usage["prompt_tokens"].cast("bigint")).alias("prompt_tokens"),
         F.sum(usage["completion_tokens"].cast("bigint")).alias("completion_tokens"),
     )
-    append_results(watched, config.output_path, max_rows_per_file)
+    append_results(watched, config.output_path, max_rows_per_file, keep_finished=True)
     values = seen.get
     for name in counts:
         counts[name] += values.get(name) or 0

@@ -55,7 +55,7 @@ MESSAGES = "array<struct<role:string, content:string>>"
 
 # What a request task hands back to the JVM. The response body stays JSON text
 # here and is parsed into its typed struct by from_json, outside Python.
-ATTEMPTS = """id string, shard int, status string, error_class string, error_text string,
+ATTEMPTS = """id string, shard int, status string, error_class string, error_text string, http_status int,
     started_at timestamp, finished_at timestamp, body string"""
 
 _RATES = """requests_per_second:double, total_tokens_per_second:double,
@@ -103,7 +103,7 @@ def results_schema(api_type: str) -> StructType:
     """Schema of the results table: one row per request attempt."""
     return StructType.fromDDL(
         "id string, run_id string, wave int, status string, error_class string, "
-        "error_text string, started_at timestamp, finished_at timestamp, "
+        "error_text string, http_status int, started_at timestamp, finished_at timestamp, "
         f"response {response_ddl(api_type)}, shard int"
     )
 

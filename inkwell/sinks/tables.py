@@ -6,17 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.functions.sharding import hash_shard
+from inkwell.sinks.task_files import append_task_files
 from inkwell.sources import files
 
 SHARD_FOLDER = r"/shard=(\d+)/[^/]*$"
 SHARD_FILE = r"/shard(\d{6,})[^/]*$"
 
 
-def append_results(results: DataFrame, path: str, max_rows_per_file: int | None = None) -> None:
+def append_results(
+    results: DataFrame, path: str, max_rows_per_file: int | None = None, keep_finished: bool = False
+) -> None:
     """Append to a zstd parquet table with one folder per shard.
 
-    The frame is written as it is partitioned; `infer` gives each task one shard.
+    The frame is written as it is partitioned; `infer` gives each task one shard. With `keep_finished`, the files of
+    finished tasks stay when the job fails, in stores that tasks can reach themselves (`inkwell.sinks.task_files`).
     """
+    if keep_finished and append_task_files(results, path, by="shard", max_rows=max_rows_per_file):
+        return
     writer = results.write.mode("append").partitionBy("shard").option("compression", "zstd")
     if max_rows_per_file:
         writer = writer.option("maxRecordsPerFile", max_rows_per_file)
@@ -42,6 +48,7 @@ def adopt_responses(answers: DataFrame, path: str, num_shards: int) -> None:
         F.lit("ok").alias("status"),
         F.lit(None).cast("string").alias("error_class"),
         F.lit(None).cast("string").alias("error_text"),
+        F.lit(None).cast("int").alias("http_status"),
         created.alias("started_at"),
         created.alias("finished_at"),
         "response",

@@ -44,8 +44,13 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*.parquet") -> li
 
 def has_file(spark: SparkSession, path: str, pattern: str = "*.parquet", recursive: bool = True) -> bool:
     """Whether any visible file below `path` matches; stops at the first one."""
+    return first_file(spark, path, pattern, recursive) is not None
+
+
+def first_file(spark: SparkSession, path: str, pattern: str = "*.parquet", recursive: bool = True) -> str | None:
+    """A visible file below `path` that matches, the first one that the file system lists."""
     if not exists(spark, path):
-        return False
+        return None
     fs = _fs(spark, path)
     root = fs.makeQualified(_path(spark, path)).toString().rstrip("/")
     files = fs.listFiles(_path(spark, path), recursive)
@@ -53,8 +58,8 @@ def has_file(spark: SparkSession, path: str, pattern: str = "*.parquet", recursi
         name = files.next().getPath().toString()
         parts = name[len(root):].strip("/").split("/")
         if not any(part.startswith(("_", ".")) for part in parts) and fnmatch(name.rsplit("/", 1)[-1], pattern):
-            return True
-    return False
+            return name
+    return None
 
 
 def list_folders(spark: SparkSession, path: str) -> list[str]:

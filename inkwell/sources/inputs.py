@@ -68,7 +68,7 @@ def load_input(
     if fmt == "arrow":
         from inkwell.sources.arrow_files import read_arrow_files
 
-        df = read_arrow_files(spark, [name for name, _ in files.list_files(spark, path, pattern)])
+        return read_arrow_files(spark, files.list_files(spark, path, pattern), columns, where)
     else:
         reader = spark.read.format(fmt)
         if "schema" in options:

@@ -11,12 +11,31 @@ from inkwell.schemas import response_ddl, results_schema
 from inkwell.sources import files
 
 
+_STORES_STATUS: dict[str, bool] = {}
+
+
+def _stores_status(spark: SparkSession, file: str) -> bool:
+    """Whether a results file has the status column; files never change, so each is asked once."""
+    if file not in _STORES_STATUS:
+        if len(_STORES_STATUS) > 1000:
+            _STORES_STATUS.clear()
+        _STORES_STATUS[file] = "http_status" in spark.read.parquet(file).columns
+    return _STORES_STATUS[file]
+
+
 def read_results(spark: SparkSession, path: str, api_type: str = "chat-completion") -> DataFrame:
-    """The results table, one row per attempt; an absent path is an empty table."""
+    """The results table, one row per attempt; an absent path is an empty table.
+
+    Of a table written before the HTTP status had a column of its own, the status is taken from the error texts.
+    """
     schema = results_schema(api_type)
-    if not files.has_file(spark, path):
+    first = files.first_file(spark, path)
+    if first is None:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path)
+    rows = spark.read.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path)
+    if _stores_status(spark, first):
+        return rows
+    return rows.withColumn("http_status", status_in(F.col("error_text")))
 
 
 def read_response_files(spark: SparkSession, path: str, api_type: str = "chat-completion") -> DataFrame:
@@ -42,25 +61,26 @@ def finished(rows: DataFrame, retry_failed: bool = False) -> DataFrame:
     """Attempts after which an id needs no further request.
 
     Those with a response, and those whose prompt is too long for the model,
-    which no retry can mend, unless `retry_failed` is set. The HTTP status in front of
-    the error text decides over the words behind it: a rate limit may speak of too many tokens.
+    which no retry can mend, unless `retry_failed` is set. The HTTP status decides over the words of the
+    error: a rate limit may speak of too many tokens.
     """
     done = F.col("status") == "ok"
     if not retry_failed:
-        done = done | ((F.col("error_class") == "context_length") & ~passing_failure(F.col("error_text")))
+        status = F.col("http_status")
+        passing = F.coalesce(status.isin(*RETRY_STATUSES) | (status >= 500), F.lit(False))
+        done = done | ((F.col("error_class") == "context_length") & ~passing)
     return rows.where(done)
 
 
-def passing_failure(error_text: Column) -> Column:
-    """Whether the HTTP status at the start of an error text says that another try may succeed."""
-    status = F.regexp_extract(error_text, r"^(?:Error code: )?(\d{3})\b", 1).try_cast("int")
-    return F.coalesce(status.isin(*RETRY_STATUSES) | (status >= 500), F.lit(False))
+def status_in(error_text: Column) -> Column:
+    """The HTTP status at the start of an error text."""
+    return F.regexp_extract(error_text, r"^(?:Error code: )?(\d{3})\b", 1).try_cast("int")
 
 
 def done_ids(results: DataFrame, retry_failed: bool = False, shard: int | None = None) -> DataFrame:
     """Distinct ids that need no further request, of a results table or of plain response rows.
 
-    Reads only the id, status and error class columns; `shard` prunes partitions.
+    Reads only the id and the three status columns; `shard` prunes partitions.
     """
     if shard is not None:
         results = results.where(F.col("shard") == shard)

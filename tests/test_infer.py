@@ -158,9 +158,10 @@ CHAT_BODY = {
 
 
 def attempts(spark, *bodies):
-    rows = [(str(i), 0, "ok", None, None, None, None, normalise(json.dumps(b))) for i, b in enumerate(bodies)]
+    rows = [(str(i), 0, "ok", None, None, None, None, None, normalise(json.dumps(b))) for i, b in enumerate(bodies)]
     return spark.createDataFrame(
-        rows, "id string, shard int, status string, error_class string, error_text string, started_at timestamp, finished_at timestamp, body string"
+        rows, "id string, shard int, status string, error_class string, error_text string, "
+        "http_status int, started_at timestamp, finished_at timestamp, body string",
     )
 
 

@@ -24,6 +24,7 @@ def results(spark, n, wave=0, status="ok", label="a"):
         F.lit(status).alias("status"),
         F.lit(None).cast("string").alias("error_class"),
         F.lit(None).cast("string").alias("error_text"),
+        F.lit(None).cast("int").alias("http_status"),
         F.timestamp_seconds(F.lit(100 + wave)).alias("started_at"),
         F.timestamp_seconds(F.lit(100 + wave)).alias("finished_at"),
         F.from_json(body, response_ddl("completion")).alias("response"),

@@ -37,7 +37,7 @@ def results(spark, tmp_path):
     path = str(tmp_path / "results")
     empty = spark.createDataFrame([], results_schema("chat-completion"))
     one = empty.union(
-        spark.sql("SELECT 'a' id, 'r' run_id, 0 wave, 'ok' status, null error_class, null error_text, now() started_at, now() finished_at").select(
+        spark.sql("SELECT 'a' id, 'r' run_id, 0 wave, 'ok' status, null error_class, null error_text, CAST(null AS INT) http_status, now() started_at, now() finished_at").select(
             "*", F.lit(None).cast(empty.schema["response"].dataType).alias("response"), F.lit(0).alias("shard")
         )
     )
@@ -74,9 +74,9 @@ def test_stored_blocks_move_only_file_counts(table):
     assert "SortMergeJoin" not in text and "BroadcastHashJoin" in text
 
 
-def test_resume_reads_three_columns_of_the_results(results):
+def test_resume_reads_ids_and_the_three_status_columns_of_the_results(results):
     text = plan(done_ids(results))
-    assert "ReadSchema: struct<id:string,status:string,error_class:string>" in text
+    assert "ReadSchema: struct<id:string,status:string,error_class:string,http_status:int>" in text
     pruned = plan(done_ids(results, shard=3))
     assert "isnotnull(shard" in pruned.split("PartitionFilters:")[1].split("]")[0]
 
