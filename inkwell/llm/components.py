@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.session import materialize
@@ -67,36 +67,43 @@ def spanning(links: DataFrame, name: str = "components") -> DataFrame:
     return thin
 
 
+def _priority(node: Column) -> Column:
+    """A fixed random order of nodes: it keeps contracted trees short however ids run along a chain."""
+    return F.struct(F.xxhash64(node).alias("order"), node.alias("node"))
+
+
+def _contract(links: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """(node, to) for every node, its first neighbour or itself, and the links between those."""
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    first = both.groupBy("a").agg(F.min(_priority(F.col("b"))).alias("first"))
+    to = F.least(_priority(F.col("a")), F.col("first"))["node"]
+    moved = materialize(first.select(F.col("a").alias("node"), to.alias("to")), f"{name}-moved")
+    left = moved.select(F.col("node").alias("a"), F.col("to").alias("x"))
+    right = moved.select(F.col("node").alias("b"), F.col("to").alias("y"))
+    fewer = links.join(left, "a").join(right, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return moved, spanning(fewer, name)
+
+
 def connected(links: DataFrame, name: str = "components") -> DataFrame:
     """(node, root): the smallest node that each node of `links` (a, b) reaches.
 
-    A round links every node to the smallest label around it and then to that label's own label,
-    so the number of rounds follows the logarithm of the longest path. Each round is a written
-    table. A node with very many links is pre-aggregated before its rows are shuffled.
+    While there are more links than a task takes, every node moves to the first of its neighbours in a random order,
+    which leaves a fraction of the nodes and links for the next round; all rounds together handle a small multiple of the
+    links. What is left, at most `LINKS_PER_TASK` links, one task joins. Then rounds are undone, last one first.
+    A node with very many links is pre-aggregated before its rows are shuffled.
     """
-    thin = spanning(links, name)
-    both = thin.unionByName(thin.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    edges = materialize(both.distinct(), f"{name}-edges")
-    labels = materialize(
-        edges.groupBy("a").agg(F.min("b").alias("least")).select(
-            F.col("a").alias("node"), F.least("a", "least").alias("root")
-        ),
-        name,
-    )
-    while True:
-        around = (
-            edges.join(labels.withColumnRenamed("node", "b"), "b")
-            .groupBy("a")
-            .agg(F.min("root").alias("near"))
-            .select(F.col("a").alias("node"), "near")
-        )
-        lowered = labels.join(around, "node").select(
-            "node", F.col("root").alias("old"), F.least("root", "near").alias("mid")
-        )
-        jump = labels.select(F.col("node").alias("mid"), F.col("root").alias("beyond"))
-        after = materialize(
-            lowered.join(jump, "mid").select("node", "old", F.least("mid", "beyond").alias("root")), name
-        )
-        labels = after.select("node", "root")
-        if after.where("root != old").isEmpty():
-            return labels
+    left, rounds = spanning(links, name), []
+    while left.count() > LINKS_PER_TASK:
+        moved, left = _contract(left, name)
+        rounds.append(moved)
+    joined = left.coalesce(1).mapInArrow(_forest, _LINK).select(F.col("b").alias("node"), F.col("a").alias("root"))
+    labels = joined.unionByName(joined.select(F.col("root").alias("node"), "root").distinct())
+    labels = materialize(labels, name)
+    if not rounds:
+        return labels
+    for moved in reversed(rounds):
+        known = labels.select(F.col("node").alias("to"), "root")
+        labels = moved.join(known, "to", "left").select("node", F.coalesce("root", "to").alias("root"))
+        labels = materialize(labels, name)
+    least = labels.groupBy("root").agg(F.min("node").alias("least"))
+    return materialize(labels.join(least, "root").select("node", F.col("least").alias("root")), name)
