@@ -138,6 +138,19 @@ def test_spanning_keeps_components_of_a_dense_group(spark, per_task, monkeypatch
     assert thin.count() <= 2 * 460
     got = {r["node"]: r["root"] for r in components.connected(links).collect()}
     assert {got[i] for i in range(400)} == {0} and all(got[1001 + i] == 1000 + i for i in range(0, 60, 2))
+    assert len(got) == 460
+
+
+@pytest.mark.parametrize("per_task", [40, 50_000])
+def test_components_of_long_chains(spark, per_task, monkeypatch):
+    monkeypatch.setattr(components, "LINKS_PER_TASK", per_task)
+    rng = random.Random(6)
+    order = rng.sample(range(5000, 5300), 300)
+    chains = [(i, i + 1) for i in range(500)] + list(zip(order[1:], order[:-1], strict=True))
+    pairs = chains + [(9000, 9001), (9001, 9001), (9002, 9001)]
+    got = {r["node"]: r["root"] for r in components.connected(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    want = {i: 0 for i in range(501)} | {i: 5000 for i in range(5000, 5300)} | {i: 9000 for i in range(9000, 9003)}
+    assert got == want
 
 
 @pytest.mark.parametrize("bucket, block", [(64, 1 << 22), (4, 400)])
