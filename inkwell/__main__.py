@@ -70,6 +70,7 @@ def run_command(args) -> int:
                 progress_path=args.log,
                 progress_interval_s=args.interval,
                 max_rows_per_file=args.max_rows_per_file,
+                resume_index=not args.no_resume_index,
             )
         )
     except (BreakerTripped, IncompleteShardsError) as error:
@@ -148,7 +149,8 @@ def parser() -> argparse.ArgumentParser:
     data.add_argument("--sample", type=int, help="check only so many rows (default: all)")
     data.add_argument("--show", type=int, default=10, help="rows to print")
     work = add("run", run_command, "send requests for all rows without a response")
-    work.add_argument("--waves", type=int, default=1)
+    work.add_argument("--waves", type=int, help="committed appends (default: one about every half hour)")
+    work.add_argument("--no-resume-index", action="store_true", help="read all results to find what is done")
     work.add_argument("--completion", choices=("attempted", "succeeded"), default="attempted")
     work.add_argument("--retry-failed", action="store_true")
     work.add_argument("--validate-sample", type=int)

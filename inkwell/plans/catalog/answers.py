@@ -32,6 +32,7 @@ from inkwell.operators.outcomes import (
     shard_totals,
     usage_totals,
 )
+from inkwell.operators.resume import pending
 from inkwell.operators.responses import join_back, latest_per_id, read_plain_responses, read_responses
 from inkwell.operators.transforms import apply_named
 from inkwell.plans.catalog.registry import query, table
@@ -47,9 +48,11 @@ from inkwell.plans.catalog.shared import (
 )
 from inkwell.plans.run import run
 from inkwell.schemas import COMPLETION_RESPONSE, one_line
-from inkwell.session import scratch_path
+from inkwell.session import materialize, scratch_path
 from inkwell.sinks.compaction import compact
+from inkwell.sinks.id_index import IdIndex
 from inkwell.sinks.tables import adopt_responses, append_results, export_responses, file_inventory
+from inkwell.sources.progress_log import read_progress
 from inkwell.sources.responses import done_ids, read_results
 from inkwell.streaming.annotate import annotate_stream, read_arrivals
 
@@ -304,26 +307,34 @@ def repeated_attempts(spark, sf_dir):
 
 _SQL_LOG_SUMS = """
 SELECT shard, count(*) AS num_rows, CAST(sum(CAST(id AS BIGINT)) AS BIGINT) AS id_sum,
-  CAST(coalesce(sum(total_tokens), 0) AS BIGINT) AS token_sum, count(DISTINCT id) AS num_ids FROM log GROUP BY shard
+  CAST(coalesce(sum(total_tokens), 0) AS BIGINT) AS token_sum, count(DISTINCT id) AS num_ids,
+  count(DISTINCT CAST(id AS BIGINT) % 8) AS files_before,
+  CAST(CASE WHEN count(DISTINCT CAST(id AS BIGINT) % 8) > 5 THEN 1 ELSE count(DISTINCT CAST(id AS BIGINT) % 8) END AS BIGINT)
+    AS files_after
+FROM log GROUP BY shard
 """
 
 
 @query("compact_multiset", f"WITH {SQL_LOG} {_SQL_LOG_SUMS}")
 def compact_multiset(spark, sf_dir):
-    """A log appended in eight waves, then compacted: the same rows in fewer files."""
+    """A log appended in eight waves, then compacted: the same rows in fewer files, both counted."""
     path = scratch_path(spark, "compacted")
     log = event_log(spark, sf_dir)
     # Eight appends' worth of files at once: one file per shard and eighth.
-    part = F.pmod(F.xxhash64("id"), F.lit(8)).cast("int")
-    pieces = log.repartitionById(8, part)
-    append_results(pieces, path)
+    append_results(log.repartitionById(8, (F.col("id").cast("bigint") % 8).cast("int")), path)
+
+    def files_of(name: str):
+        return materialize(file_inventory(spark, path).groupBy("shard").agg(F.count(F.lit(1)).alias(name)), name)
+
+    before = files_of("files_before")
     compact(spark, path, max_files=5)
-    return spark.read.parquet(path).groupBy("shard").agg(
+    sums = spark.read.parquet(path).groupBy("shard").agg(
         F.count(F.lit(1)).alias("num_rows"),
         F.sum(F.col("id").cast("bigint")).alias("id_sum"),
         F.coalesce(F.sum(F.col("total_tokens").cast("bigint")), F.lit(0)).alias("token_sum"),
         F.countDistinct("id").alias("num_ids"),
     )
+    return sums.join(before, "shard").join(files_of("files_after"), "shard")
 
 
 @query(
@@ -536,6 +547,50 @@ class _FailsAt:
         return StubClient()
 
 
+@query(
+    "resume_indexed",
+    f"""
+WITH {SQL_ANSWERS}
+SELECT lang, count(*) AS num_rows, count(DISTINCT id) AS num_ids, CAST(0 AS BIGINT) AS left_over FROM answers GROUP BY lang
+""",
+)
+def resume_indexed(spark, sf_dir):
+    """Labelled documents first, then all, then all again, each run joined with the bucketed index of what is done."""
+    path = scratch_path(spark, "indexed")
+    docs = documents(spark, sf_dir)
+    labelled = docs.join(table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
+    for rows in (labelled, docs):
+        run(spark, document_config(path), StubClient(), rows, resume_index=True)
+    with IdIndex(spark, path) as index:
+        index.refresh()
+        rest = materialize(pending(docs, index.done()).select("lang"), "left-over")
+    left = rest.groupBy("lang").agg(F.count(F.lit(1)).alias("rest"))
+    answered = join_back(docs.select("id", "lang"), read_results(spark, path), how="inner", columns={})
+    counted = answered.groupBy("lang").agg(F.count(F.lit(1)).alias("num_rows"), F.countDistinct("id").alias("num_ids"))
+    return counted.join(left, "lang", "left").select(
+        "lang", "num_rows", "num_ids", F.coalesce("rest", F.lit(0)).alias("left_over")
+    )
+
+
+@query(
+    "progress_of_failed_run",
+    f"WITH {SQL_ANSWERS} SELECT shard, count(*) AS completed, count(*) AS total FROM answers WHERE shard <> 0 GROUP BY shard",
+)
+def progress_of_failed_run(spark, sf_dir):
+    """The last progress record of each shard that answered, of a run whose wave failed."""
+    path, log = scratch_path(spark, "failed"), scratch_path(spark, "failed-progress")
+    config = document_config(path, api_base_url=",".join(f"http://host-{i}/v1" for i in range(NUM_SHARDS)))
+    try:
+        run(spark, config, _FailsAt("http://host-0/v1"), documents(spark, sf_dir), num_waves=1, progress_path=log)
+    except PySparkException as died:
+        if "no such host" not in str(died):
+            raise
+    rows = read_progress(spark, log)
+    return rows.groupBy("shard").agg(
+        F.max("completed").alias("completed"), F.max("total").alias("total")
+    )
+
+
 @query(
     "own_shards_run",
     "SELECT CAST(doc_id % 4 AS INTEGER) AS shard, count(*) AS answered FROM documents GROUP BY 1",

@@ -6,6 +6,7 @@ import time
 import uuid
 import warnings
 from collections.abc import Callable, Iterator
+from contextlib import ExitStack
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -21,6 +22,7 @@ from inkwell.operators.resume import pending
 from inkwell.operators.transforms import apply_named
 from inkwell.operators.validate import validate
 from inkwell.session import materialize, scratch_path, tune
+from inkwell.sinks.id_index import IdIndex
 from inkwell.sinks.tables import append_progress, append_results
 from inkwell.sources import files
 from inkwell.sources.inputs import has_row_index, load_configured
@@ -69,6 +71,7 @@ def run(
     max_rows_per_file: int | None = None,
     run_id: str | None = None,
     after_wave: Callable[[int], None] | None = None,
+    resume_index: bool = False,
 ) -> RunSummary:
     """Send every row of the input that has no response yet, and append the results.
 
@@ -76,6 +79,9 @@ def run(
     loses at most one wave and starts again where it was. A wave that fails keeps what its finished tasks
     wrote. The requests of a wave run in its last stage, which also writes them: nothing is shuffled after a
     request, so a lost executor cannot undo a finished task.
+
+    `resume_index` keeps the done ids in a bucketed table beside the results and joins that; the results are not
+    read again but for files that are new to it.
     """
     tune(spark)
     if spark.conf.get("spark.speculation", "false") == "true":
@@ -89,52 +95,97 @@ def run(
         mode="fail", sample=validate_sample, completions_kwargs=config.completions_kwargs,
     )
     scratch = scratch_path(spark, "run")
-    earlier = done_ids(read_results(spark, config.output_path, config.api_type), retry_failed)
-    # Written once for all waves; its true size then decides how it is joined.
-    done = materialize(earlier, "done-ids", path=f"{scratch}/done-ids")
-    done_bytes = 0 if done.isEmpty() else sum(size for _, size in files.list_files(spark, f"{scratch}/done-ids"))
+    records = _Records(spark, config, run_id, source, retry_failed, progress_path, progress_interval_s)
     counts = {"new": 0, "errors": 0, "prompt_tokens": 0, "completion_tokens": 0}
     waves = 0
-    if num_waves is None:
-        num_waves = default_waves(source.count(), config)
-    todo_before = num_waves > 1 and done_bytes > SMALL_DONE_BYTES
-    rest = pending(source, done, config.id_column_name) if todo_before else source
-    for wave, rows in enumerate(_waves(rest, num_waves, f"{scratch}/waves", by_file=not todo_before)):
-        if done_bytes and not todo_before:
-            rows = pending(rows, done, config.id_column_name)
-        # Source rows are dealt to tasks; prompts are built after that shuffle.
-        dealt = align(rows, config, F.col(_ROW) if _ROW in rows.columns else None).drop(_ROW)
-        results = infer(_prepared(dealt, config), config, client_factory, run_id, wave, aligned=True)
-        aborted = _write_wave(results, config, counts, max_rows_per_file)
-        waves += 1
-        if aborted:
-            shards = (
-                read_results(spark, config.output_path, config.api_type)
-                .where((F.col("run_id") == run_id) & (F.col("status") == "aborted"))
-                .select("shard").distinct()
-            )
-            first = [r.shard for r in shards.orderBy("shard").limit(20).collect()]
-            more = shards.count() - len(first)
-            raise BreakerTripped(
-                f"endpoint appears to be down: {aborted} rows not sent in wave {wave}, "
-                f"shards {first}" + (f" and {more} more" if more else "")
-            )
-        if after_wave:
-            after_wave(wave)
+    with ExitStack() as kept_open:
+        if resume_index:
+            index = kept_open.enter_context(IdIndex(spark, config.output_path, config.api_type))
+            index.refresh()
+            done, stored = index.done(retry_failed), index.folder
+        else:
+            earlier = done_ids(read_results(spark, config.output_path, config.api_type), retry_failed)
+            # Written once for all waves; its true size then decides how it is joined.
+            stored = f"{scratch}/done-ids"
+            done = materialize(earlier, "done-ids", path=stored)
+        done_bytes = 0 if done.isEmpty() else sum(size for _, size in files.list_files(spark, stored))
+        if num_waves is None:
+            num_waves = default_waves(source.count(), config)
+        todo_before = num_waves > 1 and done_bytes > SMALL_DONE_BYTES
+        rest = pending(source, done, config.id_column_name) if todo_before else source
+        kept_open.push(records.at_the_end)
+        for wave, rows in enumerate(_waves(rest, num_waves, f"{scratch}/waves", by_file=not todo_before)):
+            if done_bytes and not todo_before:
+                rows = pending(rows, done, config.id_column_name)
+            # Source rows are dealt to tasks; prompts are built after that shuffle.
+            dealt = align(rows, config, F.col(_ROW) if _ROW in rows.columns else None).drop(_ROW)
+            results = infer(_prepared(dealt, config), config, client_factory, run_id, wave, aligned=True)
+            aborted = _write_wave(results, config, counts, max_rows_per_file)
+            waves += 1
+            if aborted:
+                raise BreakerTripped(_down(spark, config, run_id, wave, aborted))
+            records.append(complete_only=True)
+            if after_wave:
+                after_wave(wave)
+        if resume_index:
+            index.refresh()
     log = request_log(read_results(spark, config.output_path, config.api_type))
-    totals = input_totals(source, config)
-    if progress_path:
-        mine = F.col("run_id") == run_id
-        earlier = shard_totals(finished(log.where(~mine), retry_failed)).withColumnRenamed("total", "existing")
-        rows = progress(
-            log.where(mine), totals, progress_interval_s, num_shards=config.num_shards, existing=earlier
-        )
-        append_progress(progress_records(rows).withColumn("run_id", F.lit(run_id)), progress_path)
-    check_complete(totals, log, completion, config.min_success_ratio)
+    check_complete(records.totals, log, completion, config.min_success_ratio)
     files.delete_folder(spark, scratch)
     return RunSummary(run_id=run_id, waves=waves, seconds=time.time() - began, **counts)
 
 
+def _down(spark: SparkSession, config: RunConfig, run_id: str, wave: int, aborted: int) -> str:
+    """What a tripped breaker says: how many rows were not sent, and of which shards."""
+    shards = (
+        read_results(spark, config.output_path, config.api_type)
+        .where((F.col("run_id") == run_id) & (F.col("status") == "aborted"))
+        .select("shard").distinct()
+    )
+    first = [r.shard for r in shards.orderBy("shard").limit(20).collect()]
+    more = shards.count() - len(first)
+    return f"endpoint appears to be down: {aborted} rows not sent in wave {wave}, shards {first}" + (
+        f" and {more} more" if more else ""
+    )
+
+
+class _Records:
+    """Progress records of one run: those of complete intervals after each wave, the rest when the run ends, however it does."""
+
+    def __init__(self, spark, config, run_id, source, retry_failed, path, interval_s) -> None:
+        self.spark, self.config, self.run_id, self.retry_failed = spark, config, run_id, retry_failed
+        self.path, self.interval_s, self.written_to = path, interval_s, float("-inf")
+        self.totals = input_totals(source, config)
+
+    def append(self, complete_only: bool = False) -> None:
+        if not self.path:
+            return
+        log = request_log(read_results(self.spark, self.config.output_path, self.config.api_type))
+        mine = F.col("run_id") == self.run_id
+        earlier = shard_totals(finished(log.where(~mine), self.retry_failed)).withColumnRenamed("total", "existing")
+        rows = progress(
+            log.where(mine), self.totals, self.interval_s, num_shards=self.config.num_shards, existing=earlier
+        )
+        new = progress_records(rows).where(F.col("timestamp") > self.written_to)
+        if complete_only:
+            new = new.where(F.col("timestamp") <= time.time())
+        new = materialize(new, "progress-records")
+        last = new.agg(F.max("timestamp")).first()[0]
+        if last is not None:
+            append_progress(new.withColumn("run_id", F.lit(self.run_id)), self.path)
+            self.written_to = last
+
+    def at_the_end(self, kind, error, trace) -> bool:
+        """Records of what was answered, also when a wave failed; that failure is what the caller hears of."""
+        try:
+            self.append()
+        except Exception as second:  # noqa: BLE001
+            if error is None:
+                raise
+            warnings.warn(f"progress records were not written: {second}")
+        return False
+
+
 def default_waves(rows: int, config: RunConfig) -> int:
     """Waves for a commit about every `COMMIT_SECONDS`, at `REQUEST_SECONDS` a request on all connections."""
     per_wave = COMMIT_SECONDS * config.max_connections * config.num_inference_servers // REQUEST_SECONDS

@@ -62,18 +62,29 @@ def first_file(spark: SparkSession, path: str, pattern: str = "*.parquet", recur
     return None
 
 
-def list_folders(spark: SparkSession, path: str) -> list[str]:
-    """Names of the folders directly below `path`, without hidden ones."""
+def list_folders(spark: SparkSession, path: str, prefix: str | None = None) -> list[str]:
+    """Names of the folders directly below `path`: those that are not hidden, or those that begin with `prefix`."""
     if not exists(spark, path):
         return []
     names = []
     for status in _fs(spark, path).listStatus(_path(spark, path)):
         name = status.getPath().getName()
-        if status.isDirectory() and not name.startswith(("_", ".")):
+        wanted = name.startswith(prefix) if prefix else not name.startswith(("_", "."))
+        if status.isDirectory() and wanted:
             names.append(name)
     return sorted(names)
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    _fs(spark, path).mkdirs(_path(spark, path))
+
+
+def rename(spark: SparkSession, source: str, target: str) -> None:
+    """One rename within a store; an existing target is an error."""
+    if exists(spark, target) or not _fs(spark, target).rename(_path(spark, source), _path(spark, target)):
+        raise OSError(f"could not rename {source} to {target}")
+
+
 def move_into(spark: SparkSession, source: str, folder: str) -> None:
     fs = _fs(spark, folder)
     fs.mkdirs(_path(spark, folder))

@@ -23,16 +23,22 @@ def _stores_status(spark: SparkSession, file: str) -> bool:
     return _STORES_STATUS[file]
 
 
-def read_results(spark: SparkSession, path: str, api_type: str = "chat-completion") -> DataFrame:
-    """The results table, one row per attempt; an absent path is an empty table.
+def read_results(
+    spark: SparkSession, path: str, api_type: str = "chat-completion", only: list[str] | None = None
+) -> DataFrame:
+    """The results table, one row per attempt; an absent path is an empty table. `only`: some of its files.
 
-    Of a table written before the HTTP status had a column of its own, the status is taken from the error texts.
+    A compaction that was stopped half-way is finished first. Of a table written before the HTTP status had a column of its own, the status is taken from the error texts.
     """
+    from inkwell.sinks.compaction import finish_open  # it reads inventories, which read tables
+
     schema = results_schema(api_type)
+    finish_open(spark, path)
     first = files.first_file(spark, path)
     if first is None:
         return spark.createDataFrame([], schema)
-    rows = spark.read.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path)
+    reader = spark.read.schema(schema).option("pathGlobFilter", "*.parquet")
+    rows = reader.parquet(path) if only is None else reader.option("basePath", path).parquet(*only)
     if _stores_status(spark, first):
         return rows
     return rows.withColumn("http_status", status_in(F.col("error_text")))
