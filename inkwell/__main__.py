@@ -71,6 +71,8 @@ def run_command(args) -> int:
                 progress_interval_s=args.interval,
                 max_rows_per_file=args.max_rows_per_file,
                 resume_index=not args.no_resume_index,
+                ledger_path=args.ledger,
+                shards=args.shards,
             )
         )
     except (BreakerTripped, IncompleteShardsError) as error:
@@ -123,6 +125,15 @@ def status(args) -> int:
     return 0
 
 
+def next_shards_command(args) -> int:
+    from inkwell.plans.run import next_shards
+
+    config = load_config(args.config)
+    for row in next_shards(_session(config), config, args.ledger, args.limit).toLocalIterator():
+        print(row.shard)
+    return 0
+
+
 def compact_command(args) -> int:
     from inkwell.sinks.compaction import compact
 
@@ -156,12 +167,17 @@ def parser() -> argparse.ArgumentParser:
     work.add_argument("--validate-sample", type=int)
     work.add_argument("--log", help="folder for progress records")
     work.add_argument("--interval", type=int, default=60)
+    work.add_argument("--ledger", help="folder for completed and failed shards")
+    work.add_argument("--shards", type=int, nargs="*", help="send rows of these shards only")
     work.add_argument("--max-rows-per-file", type=int)
     look = add("status", status, "show shards, throughput and progress")
     look.add_argument("--detailed", action="store_true")
     look.add_argument("--recent-minutes", type=float, default=5.0)
     look.add_argument("--shards", type=int, nargs="*")
     look.add_argument("--interval", type=int, default=60)
+    rest = add("next-shards", next_shards_command, "show shards that no run has completed")
+    rest.add_argument("--ledger", required=True)
+    rest.add_argument("--limit", type=int)
     merge = add("compact", compact_command, "merge small result files")
     merge.add_argument("--max-files", type=int, default=5)
     merge.add_argument("--target-mb", type=int, default=2000)

@@ -24,6 +24,7 @@ from inkwell.functions.prompts import fill
 from inkwell.functions.sharding import hash_shard
 from inkwell.operators.client import StubClient
 from inkwell.operators.infer import align, infer
+from inkwell.operators.ledger import all_shards
 from inkwell.operators.outcomes import (
     id_counts,
     outcome_counts,
@@ -46,12 +47,13 @@ from inkwell.plans.catalog.shared import (
     documents,
     event_log,
 )
-from inkwell.plans.run import run
+from inkwell.plans.run import next_shards, run
 from inkwell.schemas import COMPLETION_RESPONSE, one_line
 from inkwell.session import materialize, scratch_path
 from inkwell.sinks.compaction import compact
 from inkwell.sinks.id_index import IdIndex
 from inkwell.sinks.tables import adopt_responses, append_results, export_responses, file_inventory
+from inkwell.sources.ledgers import read_ledger
 from inkwell.sources.progress_log import read_progress
 from inkwell.sources.responses import done_ids, read_results
 from inkwell.streaming.annotate import annotate_stream, read_arrivals
@@ -572,6 +574,36 @@ def resume_indexed(spark, sf_dir):
     )
 
 
+@query(
+    "ledger_round_trip",
+    """
+SELECT CAST(s AS INTEGER) AS shard, s <> 0 AS completed_at_first, CASE WHEN s = 0 THEN 'inference_script_failed' END AS reason,
+  true AS completed FROM range(4) r(s)
+""",
+)
+def ledger_round_trip(spark, sf_dir):
+    """A run that fails in one shard, and a second one over the shards that its ledger leaves open."""
+    path, ledger = scratch_path(spark, "with-ledger"), scratch_path(spark, "ledger")
+    docs = documents(spark, sf_dir)
+    config = document_config(path, api_base_url=",".join(f"http://host-{i}/v1" for i in range(NUM_SHARDS)))
+    try:
+        run(spark, config, _FailsAt("http://host-0/v1"), docs, num_waves=1, ledger_path=ledger)
+    except PySparkException as died:
+        if "no such host" not in str(died):
+            raise
+    first = materialize(read_ledger(spark, f"{ledger}/completed"), "completed").withColumn("first", F.lit(True))
+    rest = [r.shard for r in next_shards(spark, config, ledger).collect()]
+    run(spark, config, StubClient(), docs, num_waves=1, ledger_path=ledger, shards=rest)
+    failed = read_ledger(spark, f"{ledger}/failed", "failed").groupBy("shard").agg(F.max("reason").alias("reason"))
+    last = read_ledger(spark, f"{ledger}/completed").withColumn("last", F.lit(True))
+    return all_shards(spark, NUM_SHARDS).join(first, "shard", "left").join(failed, "shard", "left").join(
+        last, "shard", "left"
+    ).select(
+        "shard", F.coalesce("first", F.lit(False)).alias("completed_at_first"), "reason",
+        F.coalesce("last", F.lit(False)).alias("completed"),
+    )
+
+
 @query(
     "progress_of_failed_run",
     f"WITH {SQL_ANSWERS} SELECT shard, count(*) AS completed, count(*) AS total FROM answers WHERE shard <> 0 GROUP BY shard",

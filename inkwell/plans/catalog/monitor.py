@@ -118,6 +118,13 @@ shards AS (SELECT CAST(unnest(range(6)) AS INTEGER) AS shard)
 """
 
 
+# The text of the longest ETA.
+_SQL_LONGEST = """CASE WHEN coalesce(max(eta_seconds), 0) <= 0 THEN 'N/A'
+    WHEN max(eta_seconds) < 60 THEN printf('%.1f', max(eta_seconds)) || 's'
+    WHEN max(eta_seconds) < 3600 THEN printf('%.1f', max(eta_seconds) / 60) || 'm'
+    ELSE printf('%.1f', max(eta_seconds) / 3600) || 'h' END"""
+
+
 @query(
     "latest_per_shard",
     f"WITH {sql_progress()}, {_SQL_LAST} SELECT shard, latest_timestamp, completed, total, eta_seconds FROM last",
@@ -194,18 +201,20 @@ SELECT count(*) AS total_shards, CAST(2 AS BIGINT) AS shards_completed, count(la
   (max(latest_timestamp) - min(first_timestamp)) / 60 AS duration_minutes, CAST(sum(completed) AS BIGINT) AS total_completed,
   CAST(sum(total) + round(CAST(sum(total) AS DOUBLE) / count(total) * (count(*) - count(total))) AS BIGINT) AS total_requests,
   CASE WHEN count(*) FILTER (s.shard NOT IN (4, 5) AND (latest_timestamp IS NULL OR latest_timestamp < {CUTOFF})) > 0
-    THEN '∞' ELSE 'known' END AS eta_kind
+    THEN '∞' ELSE {_SQL_LONGEST} END AS longest_eta,
+  CASE WHEN count(*) FILTER (s.shard NOT IN (4, 5) AND latest_timestamp IS NULL) > 0 THEN '∞' ELSE {_SQL_LONGEST} END
+    AS longest_eta_if_all_report
 FROM shards s LEFT JOIN last l ON l.shard = s.shard
 """,
 )
 def summary(spark, sf_dir):
     completed = spark.createDataFrame([(4,), (5,)], "shard int")
     rows = run_summary(status_progress(spark, sf_dir), completed, CUTOFF, num_shards=6)
-    kind = F.when(F.col("longest_eta") == "∞", "∞").otherwise("known")
+    report = run_summary(status_progress(spark, sf_dir), completed, 0.0, num_shards=6)
     return rows.select(
         "total_shards", "shards_completed", "shards_with_data", "active_shards", "duration_minutes", "total_completed",
-        "total_requests", kind.alias("eta_kind"),
-    )
+        "total_requests", "longest_eta",
+    ).join(report.select("total_shards", F.col("longest_eta").alias("longest_eta_if_all_report")), "total_shards")
 
 
 @query("recent_activity", f"WITH {sql_progress()} SELECT shard, timestamp, completed FROM prog WHERE timestamp >= {CUTOFF}")

@@ -8,15 +8,17 @@ import warnings
 from collections.abc import Callable, Iterator
 from contextlib import ExitStack
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.config import RunConfig, api_key
-from inkwell.functions.sharding import hash_shard
+from inkwell.functions.sharding import check_shards, hash_shard
 from inkwell.operators.client import HttpClientFactory
 from inkwell.operators.infer import ClientFactory, align, infer, row_hash
-from inkwell.operators.outcomes import check_complete, request_log, shard_totals
+from inkwell.operators.ledger import failed_lines, shard_ledger, shards_to_submit, write_completed
+from inkwell.operators.outcomes import check_complete, request_log, shard_completion, shard_totals
 from inkwell.operators.progress import progress, progress_records
 from inkwell.operators.resume import pending
 from inkwell.operators.transforms import apply_named
@@ -25,6 +27,7 @@ from inkwell.session import materialize, scratch_path, tune
 from inkwell.sinks.id_index import IdIndex
 from inkwell.sinks.tables import append_progress, append_results
 from inkwell.sources import files
+from inkwell.sources.ledgers import read_ledger
 from inkwell.sources.inputs import has_row_index, load_configured
 from inkwell.sources.responses import done_ids, finished, read_results
 
@@ -72,6 +75,8 @@ def run(
     run_id: str | None = None,
     after_wave: Callable[[int], None] | None = None,
     resume_index: bool = False,
+    ledger_path: str | None = None,
+    shards: list[int] | None = None,
 ) -> RunSummary:
     """Send every row of the input that has no response yet, and append the results.
 
@@ -80,6 +85,9 @@ def run(
     wrote. The requests of a wave run in its last stage, which also writes them: nothing is shuffled after a
     request, so a lost executor cannot undo a finished task.
 
+    `shards`: send rows of these only. `ledger_path`: a folder that gets the numbers of completed shards and a line for
+    every one that is not, however the run ends; `next_shards` reads it.
+
     `resume_index` keeps the done ids in a bucketed table beside the results and joins that; the results are not
     read again but for files that are new to it.
     """
@@ -90,12 +98,15 @@ def run(
     run_id = run_id or uuid.uuid4().hex
     client_factory = client_factory or HttpClientFactory(config.api_type, api_key(), config.max_retries)
     source = df if df is not None else load_configured(spark, config)
+    if shards is not None:
+        source = source.where(_shard_of(source, config).isin(check_shards(shards, config.num_shards)))
     validate(
         _prepared(source, config), config.api_type, config.input_column_name, config.id_column_name,
         mode="fail", sample=validate_sample, completions_kwargs=config.completions_kwargs,
     )
     scratch = scratch_path(spark, "run")
     records = _Records(spark, config, run_id, source, retry_failed, progress_path, progress_interval_s)
+    records.ledger_path, records.completion = ledger_path, completion
     counts = {"new": 0, "errors": 0, "prompt_tokens": 0, "completion_tokens": 0}
     waves = 0
     with ExitStack() as kept_open:
@@ -156,6 +167,19 @@ class _Records:
         self.spark, self.config, self.run_id, self.retry_failed = spark, config, run_id, retry_failed
         self.path, self.interval_s, self.written_to = path, interval_s, float("-inf")
         self.totals = input_totals(source, config)
+        self.ledger_path: str | None = None
+        self.completion = "attempted"
+
+    def write_ledger(self) -> None:
+        """Completed shards, each once, and a line for each that is not."""
+        if not self.ledger_path:
+            return
+        log = request_log(read_results(self.spark, self.config.output_path, self.config.api_type))
+        ledger = materialize(shard_ledger(shard_completion(self.totals, log, self.completion)), "ledger")
+        write_completed(ledger, f"{self.ledger_path}/completed")
+        now = datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
+        failed = failed_lines(ledger, now, self.run_id).coalesce(1)
+        failed.write.mode("append").text(f"{self.ledger_path}/failed")
 
     def append(self, complete_only: bool = False) -> None:
         if not self.path:
@@ -179,10 +203,11 @@ class _Records:
         """Records of what was answered, also when a wave failed; that failure is what the caller hears of."""
         try:
             self.append()
+            self.write_ledger()
         except Exception as second:  # noqa: BLE001
             if error is None:
                 raise
-            warnings.warn(f"progress records were not written: {second}")
+            warnings.warn(f"progress records or the ledger were not written: {second}")
         return False
 
 
@@ -194,9 +219,19 @@ def default_waves(rows: int, config: RunConfig) -> int:
 
 def input_totals(source: DataFrame, config: RunConfig) -> DataFrame:
     """Distinct ids per shard of the input; reads the id column only."""
-    # The same shard that `align` uses: the input's own, if it brings one.
-    shard = F.col("shard").cast("int") if "shard" in source.columns else hash_shard(config.id_column_name, config.num_shards)
-    return shard_totals(source.select(F.col(config.id_column_name).alias("id"), shard.alias("shard")))
+    shard = _shard_of(source, config).alias("shard")
+    return shard_totals(source.select(F.col(config.id_column_name).alias("id"), shard))
+
+
+def _shard_of(source: DataFrame, config: RunConfig) -> Column:
+    """The same shard that `align` uses: the input's own, if it brings one."""
+    return F.col("shard").cast("int") if "shard" in source.columns else hash_shard(config.id_column_name, config.num_shards)
+
+
+def next_shards(spark: SparkSession, config: RunConfig, ledger_path: str, limit: int | None = None) -> DataFrame:
+    """Shards that no run has completed, the lowest `limit` of them."""
+    completed = read_ledger(spark, f"{ledger_path}/completed", "completed")
+    return shards_to_submit(config.num_shards, completed, spark.createDataFrame([], "shard int"), limit)
 
 
 def _prepared(rows: DataFrame, config: RunConfig) -> DataFrame:

@@ -136,7 +136,8 @@ def test_a_stop_during_compaction_loses_nothing(spark, out, monkeypatch):
         stopped.setattr(compaction.files, "delete_file", stop)
         with pytest.raises(OSError):
             compact(spark, out, max_files=5)
-    assert read_results(spark, out, "completion").count() == 360
+    assert spark.read.parquet(out).count() == 360  # to a plain reader rows are there twice for a while
+    assert read_results(spark, out, "completion").count() == 180  # this library's readers finish it first
     assert texts(read_responses(spark, out, "completion")) == want
 
 
