@@ -79,6 +79,19 @@ def progress(
         *[f"sum({name}) {so_far} AS {name}" for name in names],
         f"min({first}) OVER (PARTITION BY shard) AS origin",
     )
+    return report_rows(rows, totals, interval_s, origin, num_shards, existing, count_errors)
+
+
+def report_rows(
+    rows: DataFrame,
+    totals: DataFrame,
+    interval_s: int = 60,
+    origin: str = "first_completion",
+    num_shards: int | None = None,
+    existing: DataFrame | None = None,
+    count_errors: bool = True,
+) -> DataFrame:
+    """Reports from intervals with their running sums: shard, bucket, interval_*, the sums, and `origin` in microseconds."""
     known = totals.select("shard", "total")
     if existing is not None:
         known = known.join(existing.select("shard", "existing"), "shard", "left")

@@ -8,7 +8,7 @@ from inkwell.functions.formatting import count_text, epoch_timestamp, format_dur
 from inkwell.operators.breaker import breaker_trips, longest_streaks
 from inkwell.operators.ledger import job_state_counts, shard_ledger, shards_to_submit, status_board
 from inkwell.operators.outcomes import shard_completion, shard_totals
-from inkwell.operators.progress import per_hour, progress, progress_records, status_rows
+from inkwell.operators.progress import per_hour, progress, progress_records, report_rows, status_rows
 from inkwell.operators.status import (
     current_throughput,
     latest_per_shard,
@@ -27,6 +27,7 @@ from inkwell.session import scratch_path
 from inkwell.sinks.tables import append_progress
 from inkwell.sources.ledgers import normalise_jobs
 from inkwell.sources.progress_log import read_progress
+from inkwell.streaming.state import INTERVALS, TRIPS, first_trips, running_intervals, write_stream
 from inkwell.streaming.throughput import read_throughput, windowed_counts, write_throughput
 
 CUTOFF = 1_706_637_600.0  # 2024-01-30 18:00:00 UTC
@@ -451,3 +452,51 @@ def stream_throughput(spark, sf_dir):
     return read_throughput(spark, out).select(
         "shard", F.unix_micros("window_start").alias("window_start"), "new", "errors", "total_tokens"
     )
+
+
+def _late_arrivals(spark, log):
+    """A log as arriving files in four steps of time, a seventh of the rows a step late; (stream, lateness).
+
+    A row far in the future comes last and moves the watermark past all others; it is left out behind it.
+    """
+    folder = scratch_path(spark, "late-arrivals")
+    span = log.agg(F.min("finished_at").alias("lo"), F.max("finished_at").alias("hi")).first()
+    step = max(1.0, (span.hi - span.lo).total_seconds() / 4)
+    since = F.unix_micros("finished_at") - F.unix_micros(F.lit(span.lo))
+    late = F.when(F.col("id").cast("bigint") % 7 == 0, 1).otherwise(0)
+    placed = log.withColumn("step", (F.floor(since / (step * 1_000_000)) + late).cast("int"))
+    for number in range(6):
+        placed.where(F.col("step") == number).drop("step").write.mode("append").parquet(folder)
+    last = F.lit(span.hi) + F.expr("INTERVAL 3650 DAYS")
+    nothing = [F.lit(None).cast(t).alias(n) for n, t in log.dtypes if n not in ("finished_at", "shard")]
+    marker = spark.range(1).select(last.alias("finished_at"), F.lit(-1).alias("shard"), *nothing).select(*log.columns)
+    marker.write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 8).parquet(folder)
+    return stream, f"{int(step * 2) + 1} seconds"
+
+
+@query("stream_progress", f"WITH {sql_progress()} SELECT {_PROGRESS_COLUMNS} FROM prog")
+def stream_progress(spark, sf_dir):
+    """Progress from the state of a stream whose rows come late: the same as from the whole log."""
+    out, log = scratch_path(spark, "stream-progress"), event_log(spark, sf_dir)
+    stream, lateness = _late_arrivals(spark, log)
+    intervals = running_intervals(stream, INTERVAL_S, lateness).where("shard >= 0")
+    write_stream(intervals, out, scratch_path(spark, "progress-state")).awaitTermination()
+    rows = spark.read.schema(INTERVALS).parquet(out).withColumn("origin", F.col("first_ok"))
+    totals = log.groupBy("shard").agg(F.count(F.lit(1)).alias("total"))
+    return _progress_columns(report_rows(rows, totals, INTERVAL_S, num_shards=6))
+
+
+@query(
+    "stream_breaker",
+    f"""
+WITH {_SQL_STREAKS}
+SELECT shard, epoch_us(min(finished_at)) AS tripped_at, arg_min(id, finished_at) AS id FROM streaks WHERE streak >= 3 GROUP BY shard
+""",
+)
+def stream_breaker(spark, sf_dir):
+    """Where three failures in a row first came together, from the state of a stream whose rows come late."""
+    out = scratch_path(spark, "stream-breaker")
+    stream, lateness = _late_arrivals(spark, event_log(spark, sf_dir))
+    write_stream(first_trips(stream, 3, INTERVAL_S, lateness), out, scratch_path(spark, "breaker-state")).awaitTermination()
+    return spark.read.schema(TRIPS).parquet(out).select("shard", F.unix_micros("tripped_at").alias("tripped_at"), "id")

@@ -4,6 +4,9 @@ import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
+from inkwell.operators.breaker import breaker_trips
+from inkwell.operators.progress import progress, report_rows
+from inkwell.streaming.state import INTERVALS, TRIPS, first_trips, running_intervals, write_stream
 from inkwell.config import RunConfig
 from inkwell.operators.client import StubClient
 from inkwell.sources.responses import read_results
@@ -97,3 +100,42 @@ def test_a_row_without_an_id_becomes_an_error(spark, tmp_path):
     rows = annotate(spark, folder, out, state).collect()
     assert sorted((r.status, r.error_text) for r in rows if r.id is None) == [("error", "not sent: the row has no id")]
     assert sum(r.status == "ok" for r in rows) == 3
+
+
+def _random_log(spark, seed, hours):
+    import random
+
+    rng = random.Random(seed)
+    rows = []
+    for i in range(150):
+        second = rng.choice(hours) * 3600 + rng.randrange(3600)
+        status = rng.choice(["ok", "error", "error"])
+        kind = rng.choice(["api", "timeout", "other"]) if status == "error" else None
+        tokens = rng.randrange(50) if status == "ok" else None
+        rows.append((f"{seed}-{i:03d}", rng.randrange(3), status, kind, float(second), tokens))
+    plain = spark.createDataFrame(rows, "id string, shard int, status string, error_class string, finished_at double, n int")
+    return plain.select(
+        "id", "shard", "status", "error_class", F.timestamp_seconds("finished_at").alias("finished_at"),
+        *[F.col("n").alias(c) for c in ("prompt_tokens", "completion_tokens", "total_tokens")],
+    )
+
+
+def test_state_survives_a_restart_and_equals_the_batch_reports(spark, tmp_path):
+    """Two starts on one checkpoint, hours without rows between them, rows up to two hours late."""
+    folder, reports, trips = (str(tmp_path / name) for name in ("in", "reports", "trips"))
+    parts = [_random_log(spark, 1, [1, 2]), _random_log(spark, 2, [2, 3, 9]), _random_log(spark, 3, [8, 10])]
+    end = parts[0].limit(1).withColumns({"finished_at": F.timestamp_seconds(F.lit(4_000_000.0)), "shard": F.lit(-1)})
+    for part in ([parts[0], parts[1]], [parts[2], end]):
+        for rows in part:
+            rows.coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        write_stream(running_intervals(stream, 3600, "2 hours").where("shard >= 0"), reports, str(tmp_path / "a")).awaitTermination()
+        write_stream(first_trips(stream, 4, 3600, "2 hours").where("shard >= 0"), trips, str(tmp_path / "b")).awaitTermination()
+    log = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    totals = log.groupBy("shard").agg(F.count("*").alias("total"))
+    rows = spark.read.schema(INTERVALS).parquet(reports).withColumn("origin", F.col("first_ok"))
+    got, want = report_rows(rows, totals, 3600), progress(log, totals, 3600)
+    columns = [c for c in want.columns if c in got.columns]
+    assert sorted(got.select(columns).collect()) == sorted(want.select(columns).collect()) and "eta_seconds" in columns
+    found = spark.read.schema(TRIPS).parquet(trips).select("shard", "tripped_at", "id").collect()
+    assert sorted(found) == sorted(breaker_trips(log, 4).select("shard", "tripped_at", "id").collect()) and found
