@@ -162,7 +162,7 @@ class HttpClientFactory:
 class StubClient:
     """Answers from the request alone, the same way each time, without a network.
 
-    With n the characters of the prompt (of the last user message, for chat):
+    With n the characters of the prompt (of the texts of the last user message, for chat):
     text `<think>ok</think>\\n\\nEducational score: {n % 6}`, n // 4 prompt
     tokens and 8 completion tokens. `fail` maps n to an error text, "timeout" for
     a passed deadline, or None. `latency_s` is slept on every call.
@@ -181,7 +181,9 @@ class StubClient:
         chat = "messages" in body
         if chat:
             users = [m.get("content") or "" for m in body["messages"] if m["role"] == "user"]
-            n = len(users[-1]) if users else 0
+            last = users[-1] if users else ""
+            texts = [last] if isinstance(last, str) else [part.get("text") or "" for part in last]
+            n = sum(map(len, texts))
         else:
             n = len(body["prompt"])
         error = self.fail(n) if self.fail else None

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StringType, StructType, VariantType
 
+from inkwell.functions.content import kind_of, parts_are_valid
 from inkwell.functions.prompts import prefill_flags_missing
 
 # The message roles of the public chat API.
@@ -14,6 +15,9 @@ ROLES = ("developer", "system", "user", "assistant", "tool", "function")
 # Letters that count as blank at the ends of an id.
 _BLANK = r"(?U)\A[\s\x1c-\x1f\x85]*\z"
 
+# Servers differ in the parts they take, so parts are reported and do not stop a run.
+WARNINGS = ("part_invalid",)
+
 REPORT_SCHEMA = "rule string, severity string, bad_rows bigint, first_id string"
 
 
@@ -33,6 +37,8 @@ def message_is_valid(message: Column, fields: dict[str, DataType]) -> Column:
         if name not in fields:
             return F.lit(False)
         value = message[name]
+        if isinstance(fields[name], VariantType) and name == "content":
+            return kind_of(value).isin("text", "parts")
         if isinstance(fields[name], VariantType):
             return value.isNotNull() & ~F.is_variant_null(value)
         return value.isNotNull()
@@ -72,6 +78,8 @@ def _rules(df: DataFrame, api_type: str, input_col: str, id_col: str) -> list[tu
     else:
         bad = F.size(value) > 0
     rules.append(("message_invalid", bad))
+    if "role" in fields and isinstance(fields.get("content"), VariantType):
+        rules.append(("part_invalid", F.exists(value, lambda m: ~parts_are_valid(m["content"], m["role"]))))
     return rules
 
 
@@ -110,7 +118,9 @@ def validate(
         df = df.withColumn(id_col, F.col(id_col).cast("string"))
     if sample is not None:
         df = df.limit(sample)
-    rules = [(rule, "error", bad) for rule, bad in _rules(df, api_type, input_col, id_col)]
+    rules = [
+        (rule, "warning" if rule in WARNINGS else "error", bad) for rule, bad in _rules(df, api_type, input_col, id_col)
+    ]
     if completions_kwargs is not None and api_type == "chat-completion" and _is_message_list(df, input_col):
         rules.append(("prefill_without_flags", "warning", prefill_flags_missing(input_col, completions_kwargs)))
     measures = [F.count(F.lit(1)).alias("num_rows")]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from inkwell.functions.content import image_part, parts, text_part
 from inkwell.functions.prompts import conversation, fill, from_turns, prefill_flags_missing, truncate
 from inkwell.functions.requests import chat_request, completion_request
 from inkwell.functions.sharding import base_job_name, endpoint_for, shard_name, shard_of_job
@@ -274,8 +275,9 @@ def row_function(spark, sf_dir):
 _SQL_RULE = "SELECT '{rule}' AS rule, '{severity}' AS severity, count(*) FILTER ({bad}) AS bad_rows, min(id) FILTER ({bad}) AS first_id FROM rows"
 
 
-def _sql_report(rows: str, rules: list[tuple[str, str]]) -> str:
-    lines = [_SQL_RULE.format(rule=rule, severity="error", bad=bad) for rule, bad in rules]
+def _sql_report(rows: str, rules: list[tuple[str, ...]]) -> str:
+    """SQL of a report; a rule is (name, condition) or (name, condition, severity)."""
+    lines = [_SQL_RULE.format(rule=name, severity=(*kind, "error")[0], bad=bad) for name, bad, *kind in rules]
     empty = "SELECT 'empty', 'warning', CASE WHEN count(*) = 0 THEN 1 ELSE 0 END::BIGINT, NULL FROM rows"
     return f"WITH rows AS ({rows})\n" + "\nUNION ALL ".join([*lines, empty])
 
@@ -342,6 +344,45 @@ def validate_chat(spark, sf_dir):
     return validate(rows, "chat-completion", "messages")
 
 
+@query(
+    "validate_parts",
+    _sql_report(
+        """
+SELECT CAST(doc_id AS VARCHAR) AS id, doc_id % 9 IN (4, 8) AS bad_message, doc_id % 9 IN (2, 3, 5, 6, 8) AS bad_part
+FROM documents""",
+        [
+            ("id_null", "id IS NULL"),
+            ("id_blank", "id = ''"),
+            ("messages_not_list", "FALSE"),
+            ("messages_empty", "FALSE"),
+            ("message_invalid", "bad_message"),
+            ("part_invalid", "bad_part", "warning"),
+        ],
+    ),
+)
+def validate_parts(spark, sf_dir):
+    """Documents as contents of parts: good ones, and parts of unknown types, without fields, or of another role."""
+    docs = table(spark, sf_dir, "documents")
+    kind, text = F.col("doc_id") % 9, text_part(F.col("text"))
+    image = image_part(F.concat(F.lit("https://images.example.com/"), F.col("doc_id").cast("string")))
+    content = (
+        F.when(kind == 0, F.parse_json(F.lit('"plain text"')))
+        .when(kind == 1, parts(text, image))
+        .when(kind == 2, parts(text, F.lit('{"type": "image_url", "image_url": {}}')))
+        .when(kind == 3, parts(text, F.lit('{"type": "video"}')))
+        .when(kind == 4, F.parse_json(F.lit("null")))
+        .when(kind == 5, F.parse_json(F.lit("[]")))
+        .when(kind == 6, parts(F.lit('{"type": "text", "text": 7}')))
+        .when(kind == 7, parts(image, text))
+        .otherwise(F.parse_json(F.lit("12.5")))
+    )
+    rows = docs.select(
+        F.col("doc_id").cast("string").alias("id"),
+        F.array(F.struct(F.lit("user").alias("role"), content.alias("content"))).alias("messages"),
+    )
+    return validate(rows, "chat-completion", "messages")
+
+
 @query("duplicate_ids", "SELECT md5(text) AS id, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
 def duplicates(spark, sf_dir):
     """Ids that repeat, with the text's digest as the id."""

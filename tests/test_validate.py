@@ -131,3 +131,54 @@ def test_prefilled_rows_without_flags_are_a_warning(spark):
     assert {(r.severity, r.bad_rows, r.first_id) for r in got if r.rule == "prefill_without_flags"} == {("warning", 1, "r0")}
     flags = {"continue_final_message": True, "add_generation_prompt": False}
     assert report(rows, "chat-completion", "messages", completions_kwargs=flags)["prefill_without_flags"] == (0, None)
+
+
+PARTS = [
+    ("user", '"text"', "text", True), ("user", '[{"type": "text", "text": "a"}, {"type": "image_url", "image_url": {"url": "u"}}]', "parts", True),
+    ("user", '[{"type": "image_url", "image_url": {"url": 3}}]', "parts", False), ("user", '[{"type": "video", "url": "u"}]', "parts", False),
+    ("user", "[]", "parts", False), ("user", "null", "null", True), ("user", "12", "other", False), ("user", '{"type": "text"}', "other", False),
+    ("user", '["text"]', "parts", False), ("user", '[{"text": "a"}]', "parts", False), ("user", '[null]', "parts", False),
+    ("user", '[{"type": "input_audio", "input_audio": {"data": "x", "format": "mp3"}}]', "parts", True),
+    ("user", '[{"type": "input_audio", "input_audio": {"data": "x", "format": "ogg"}}]', "parts", False),
+    ("user", '[{"type": "file", "file": {}}]', "parts", True), ("user", '[{"type": "refusal", "refusal": "no"}]', "parts", False),
+    ("assistant", '[{"type": "refusal", "refusal": "no"}]', "parts", True), ("assistant", '[{"type": "image_url", "image_url": {"url": "u"}}]', "parts", False),
+    ("system", '[{"type": "text", "text": "a"}]', "parts", True), ("system", '[{"type": "image_url", "image_url": {"url": "u"}}]', "parts", False),
+    ("tool", '[{"type": "text", "text": ""}]', "parts", True), ("tool", '[{"type": "text", "text": null}]', "parts", False),
+]
+
+
+def test_contents_as_parts(spark):
+    from pyspark.sql import functions as F
+
+    from inkwell.functions.content import kind_of, parts_are_valid
+
+    df = spark.createDataFrame([(i, role, raw) for i, (role, raw, _, _) in enumerate(PARTS)], "i int, role string, raw string")
+    df = df.withColumn("content", F.parse_json("raw"))
+    got = df.select("i", kind_of(F.col("content")), parts_are_valid(F.col("content"), F.col("role"))).orderBy("i").collect()
+    assert [tuple(r)[1:] for r in got] == [(kind, good) for _, _, kind, good in PARTS]
+
+
+def test_parts_are_built_counted_and_sent_as_they_are(spark):
+    import json
+
+    from pyspark.sql import functions as F
+
+    from inkwell.functions.content import image_part, parts, text_of, text_part
+    from inkwell.functions.requests import chat_request
+
+    df = spark.createDataFrame([("a\n\"ü", "http://x/1"), ("b", None)], "t string, u string")
+    df = df.withColumn("content", parts(text_part(F.col("t")), image_part(F.col("u"))))
+    messages = F.array(F.struct(F.lit("user").alias("role"), F.col("content").alias("content")))
+    rows = df.select(chat_request("m", messages).alias("body"), text_of(F.col("content")).alias("text")).collect()
+    contents = [json.loads(r.body)["messages"][0]["content"] for r in rows]
+    image = {"type": "image_url", "image_url": {"url": "http://x/1"}}
+    assert contents == [[{"type": "text", "text": "a\n\"ü"}, image], [{"type": "text", "text": "b"}]]
+    assert [r.text for r in rows] == ["a\n\"ü", "b"]
+
+
+def test_bad_parts_are_reported_and_do_not_stop_a_run(spark):
+    rows = [("a", '[{"role": "user", "content": [{"type": "video"}]}]'), ("b", '[{"role": "user", "content": 5}]')]
+    frame = spark.createDataFrame(rows, "id string, raw string").withColumn("messages", messages_from_json("raw"))
+    report = {r.rule: (r.severity, r.bad_rows) for r in validate(frame, "chat-completion", "messages").collect()}
+    assert report["part_invalid"] == ("warning", 2) and report["message_invalid"] == ("error", 1)
+    validate(frame.where("id = 'a'"), "chat-completion", "messages", mode="fail")
