@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -105,3 +106,52 @@ def test_warc_selection_and_bound(spark, tmp_path):
     assert {r["record_id"] for r in some} == {0, 7, 14, 21, 28}
     assert {r["record_type"] for r in some if r["payload_bytes"] < 2} == {"response"}
     assert warc.write_archives(df.limit(0), warc.as_uri(str(tmp_path / "e"))).count() == 0
+
+
+LONG = "This paragraph has enough words, and commas, to be read as the text of an article, as it goes on for a while. " * 3
+
+
+def test_link_lists_class_parts_and_formulas_of_an_article_stay():
+    page = f"""<body><nav><a href=x>Home</a></nav><article><p>{LONG}</p>
+      <ul><li><a href=1>First source</a><li><a href=2>Second source</a><li><a href=3>Third source</a></ul>
+      <div class="share-price"><p>{LONG.upper()}</p></div><p>Let <math><mi>x</mi></math> be one.</p>
+      <div class="share-buttons"><a href=4>Post</a></div><div class="share"><p>{LONG.lower()}</p></div>
+      <div class="user-comments"><p>{LONG.title()}</p></div></article></body>"""
+    text = html_text.main_text(page)
+    for kept in ("First source", "Third source", LONG.strip(), LONG.upper().strip(), "Let x be one."):
+        assert kept in text
+    for gone in ("Home", "Post", LONG.lower().strip(), LONG.title().strip()):
+        assert gone not in text
+
+
+MALFORMED = [
+    "<a x", '<a "x>', '<a "', "<a 'x\">", "<!x", "<b>", "<span><p>", "<div></span>", "</p>", "<li>", "<p><div>" + "<b>" * 20, "<table><tr><td>",
+    "<script", "<![CDATA[", "<!--", "<td><p><li><dd>", "<p>" + "</b>" * 9, "&amp", "<", "<a href='", "<p title=\"'>",
+]
+
+
+@pytest.mark.parametrize("pattern", MALFORMED)
+def test_a_megabyte_of_malformed_markup_takes_time_that_follows_its_length(pattern):
+    def seconds(size):
+        page = pattern * (size // len(pattern))
+        began = time.process_time()
+        html_text.main_text(page)
+        return time.process_time() - began
+
+    assert seconds(1_000_000) < max(4.0, 8 * seconds(250_000))
+
+
+def test_tags_end_at_the_first_bracket_outside_quotes():
+    def listed(html):
+        return [(name, rest) for _, _, _, name, rest in html_text.tokens(html)]
+
+    assert listed("""<a t="1>2" u='">'>x<b>""") == [("a", """ t="1>2" u='">'"""), ("b", "")]
+    assert listed("""<a t="1>2<b>""") == [("a", ' t="1'), ("b", "")]
+    assert listed("<!-- <a> --><?x?><!DOCTYPE html><p>1 < 2</p><br/>") == [(None, "")] * 3 + [("p", ""), ("p", ""), ("br", "/")]
+    assert listed("<p") == [] and listed("a > b <") == [] and listed("<!--") == [(None, "")]
+
+
+def test_repeated_pages_nulls_and_clashing_columns(spark):
+    rows = [(1, f"<article><p>{LONG}</p></article>", "old", 5), (1, f"<article><p>{LONG}</p></article>", "old", 5), (2, None, "x", 1)]
+    got = html_text.extract_text(spark.createDataFrame(rows, "page_id long, html string, text string, n_chars int")).collect()
+    assert sorted((r.page_id, r.text, r.n_chars) for r in got) == [(1, LONG.strip(), len(LONG.strip()))] * 2 + [(2, "", 0)]
