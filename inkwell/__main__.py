@@ -73,6 +73,8 @@ def run_command(args) -> int:
                 resume_index=not args.no_resume_index,
                 ledger_path=args.ledger,
                 shards=args.shards,
+                shard_by=args.shard_by,
+                check_unique=args.check_unique,
             )
         )
     except (BreakerTripped, IncompleteShardsError) as error:
@@ -86,9 +88,12 @@ def _show(rows) -> None:
     rows.show(max(1, rows.count()), truncate=False)
 
 
+JOBS = "name string, job_id bigint, job_state string"
+
+
 def status(args) -> int:
     from inkwell.functions.sharding import check_shards
-    from inkwell.operators.ledger import completed_shards, shard_ledger
+    from inkwell.operators.ledger import completed_shards, shard_ledger, status_board
     from inkwell.operators.outcomes import request_log, shard_completion
     from inkwell.operators.progress import progress, status_rows
     from inkwell.operators.status import (
@@ -102,20 +107,33 @@ def status(args) -> int:
     from inkwell.plans.run import input_totals
     from inkwell.session import materialize
     from inkwell.sources.inputs import load_configured
+    from inkwell.sources.ledgers import normalise_jobs, read_ledger
+    from inkwell.sources.progress_log import read_progress
     from inkwell.sources.responses import read_results
 
     config = load_config(args.config)
     shards = check_shards(args.shards, config.num_shards) if args.shards else None
     spark = _session(config)
     # Small tables (a row per shard, or per shard and interval), used several times.
-    totals = materialize(input_totals(load_configured(spark, config), config), "totals")
-    log = request_log(read_results(spark, config.output_path, config.api_type))
-    ledger = materialize(shard_ledger(shard_completion(totals, log)), "ledger")
-    completed = completed_shards(ledger)
-    _show(ledger.orderBy("shard"))
+    if not (args.log and args.ledger):
+        totals = materialize(input_totals(load_configured(spark, config), config), "totals")
+        log = request_log(read_results(spark, config.output_path, config.api_type))
+    if args.ledger:
+        completed = read_ledger(spark, f"{args.ledger}/completed")
+        board = status_board(config.num_shards, completed, normalise_jobs(spark.createDataFrame([], JOBS)))
+        _show(board.select("shard", "completed").orderBy("shard"))
+        _show(read_ledger(spark, f"{args.ledger}/failed", "failed").orderBy("failed_at", "shard"))
+    else:
+        ledger = materialize(shard_ledger(shard_completion(totals, log)), "ledger")
+        completed = completed_shards(ledger)
+        _show(ledger.orderBy("shard"))
     if args.detailed:
         cutoff = time.time() - args.recent_minutes * 60
-        rows = materialize(status_rows(progress(log, totals, args.interval, num_shards=config.num_shards, fill_gaps=False)), "status")
+        if args.log:
+            rows = read_progress(spark, args.log)
+        else:
+            rows = status_rows(progress(log, totals, args.interval, num_shards=config.num_shards, fill_gaps=False))
+        rows = materialize(rows, "status")
         if shards is not None:
             rows = rows.where(rows.shard.isin(shards))
         stats = shard_stats(rows, cutoff, shards, config.num_shards)
@@ -168,6 +186,8 @@ def parser() -> argparse.ArgumentParser:
     work.add_argument("--log", help="folder for progress records")
     work.add_argument("--interval", type=int, default=60)
     work.add_argument("--ledger", help="folder for completed and failed shards")
+    work.add_argument("--shard-by", choices=("hash", "contiguous", "file"), default="hash")
+    work.add_argument("--check-unique", action="store_true", help="stop before the first request if an id repeats")
     work.add_argument("--shards", type=int, nargs="*", help="send rows of these shards only")
     work.add_argument("--max-rows-per-file", type=int)
     look = add("status", status, "show shards, throughput and progress")
@@ -175,6 +195,8 @@ def parser() -> argparse.ArgumentParser:
     look.add_argument("--recent-minutes", type=float, default=5.0)
     look.add_argument("--shards", type=int, nargs="*")
     look.add_argument("--interval", type=int, default=60)
+    look.add_argument("--log", help="progress records of the runs; without, all results are read")
+    look.add_argument("--ledger", help="folder with the completed and failed shards of the runs")
     rest = add("next-shards", next_shards_command, "show shards that no run has completed")
     rest.add_argument("--ledger", required=True)
     rest.add_argument("--limit", type=int)

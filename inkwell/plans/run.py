@@ -21,6 +21,7 @@ from inkwell.operators.ledger import failed_lines, shard_ledger, shards_to_submi
 from inkwell.operators.outcomes import check_complete, request_log, shard_completion, shard_totals
 from inkwell.operators.progress import progress, progress_records
 from inkwell.operators.resume import pending
+from inkwell.operators.shard import with_shard
 from inkwell.operators.transforms import apply_named
 from inkwell.operators.validate import validate
 from inkwell.session import materialize, scratch_path, tune
@@ -77,6 +78,8 @@ def run(
     resume_index: bool = False,
     ledger_path: str | None = None,
     shards: list[int] | None = None,
+    shard_by: str = "hash",
+    check_unique: bool = False,
 ) -> RunSummary:
     """Send every row of the input that has no response yet, and append the results.
 
@@ -85,7 +88,8 @@ def run(
     wrote. The requests of a wave run in its last stage, which also writes them: nothing is shuffled after a
     request, so a lost executor cannot undo a finished task.
 
-    `shards`: send rows of these only. `ledger_path`: a folder that gets the numbers of completed shards and a line for
+    `shard_by`: `hash` of the id, or `contiguous` or `file`, as the rows are stored; an input's own shards come first.
+    `check_unique`: an id that is there twice stops the run before the first request. `shards`: send rows of these only. `ledger_path`: a folder that gets the numbers of completed shards and a line for
     every one that is not, however the run ends; `next_shards` reads it.
 
     `resume_index` keeps the done ids in a bucketed table beside the results and joins that; the results are not
@@ -98,11 +102,13 @@ def run(
     run_id = run_id or uuid.uuid4().hex
     client_factory = client_factory or HttpClientFactory(config.api_type, api_key(), config.max_retries)
     source = df if df is not None else load_configured(spark, config)
+    if shard_by != "hash" and "shard" not in source.columns:
+        source = with_shard(source, config.num_shards, shard_by, config.id_column_name)
     if shards is not None:
         source = source.where(_shard_of(source, config).isin(check_shards(shards, config.num_shards)))
     validate(
         _prepared(source, config), config.api_type, config.input_column_name, config.id_column_name,
-        mode="fail", sample=validate_sample, completions_kwargs=config.completions_kwargs,
+        mode="fail", sample=validate_sample, completions_kwargs=config.completions_kwargs, check_unique=check_unique,
     )
     scratch = scratch_path(spark, "run")
     records = _Records(spark, config, run_id, source, retry_failed, progress_path, progress_interval_s)

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from inkwell.functions.formatting import epoch_timestamp
 from inkwell.schemas import progress_schema
+from inkwell.session import materialize
 from inkwell.sources import files
 
 _BAD = "_corrupt_record"
@@ -71,8 +71,8 @@ def read_progress(spark: SparkSession, paths: str | list[str], skip: str = "file
     """
     if skip not in ("file", "line"):
         raise ValueError("skip must be 'file' or 'line'")
-    records = read_progress_records(spark, paths)
-    records.persist(StorageLevel.MEMORY_AND_DISK)
+    # Parsed once: bad lines cannot be asked for in a plan that reads no other column of the text.
+    records = materialize(read_progress_records(spark, paths), "progress-records")
     good = records.where(F.col(_BAD).isNull())
     if skip == "file":
         bad_files = records.where(F.col(_BAD).isNotNull()).select("file").distinct()

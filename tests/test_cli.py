@@ -5,6 +5,7 @@ from inkwell.__main__ import main
 from inkwell.operators.client import StubClient
 from inkwell.config import load_config
 from inkwell.plans.run import run
+from inkwell.sources.ledgers import read_ledger
 
 
 @pytest.fixture
@@ -41,10 +42,27 @@ def test_status_and_compaction(spark, config_file, capsys):
     assert "num_rows=20" in capsys.readouterr().out
 
 
-def test_unreachable_endpoint_fails_the_run(config_file, capsys):
+def test_status_from_the_log_and_ledger_of_a_run(spark, config_file, tmp_path, capsys):
+    log, ledger = str(tmp_path / "log"), str(tmp_path / "ledger")
+    config = load_config(config_file)
+    run(spark, config, StubClient(), progress_path=log, ledger_path=ledger, shards=[1])
+    assert main(["next-shards", "--config", config_file, "--ledger", ledger]) == 0
+    assert capsys.readouterr().out.split()[-1] == "0"
+    command = ["status", "--config", config_file, "--detailed", "--recent-minutes", "60", "--log", log, "--ledger", ledger]
+    assert main(command) == 0
+    shown = capsys.readouterr().out
+    assert "Total requests" in shown and "|1    |true     |" in shown and "|0    |false    |" in shown
+    run(spark, config, StubClient(), progress_path=log, ledger_path=ledger)
+    assert main(["next-shards", "--config", config_file, "--ledger", ledger]) == 0
+    assert capsys.readouterr().out.split() == []
+
+
+def test_unreachable_endpoint_fails_the_run(spark, config_file, tmp_path, capsys):
     # Nothing listens there, so every request fails to connect.
-    assert main(["run", "--config", config_file]) == 1
+    log = str(tmp_path / "log")
+    assert main(["run", "--config", config_file, "--log", log, "--ledger", str(tmp_path / "ledger")]) == 1
     assert "endpoint appears to be down" in capsys.readouterr().err
+    assert read_ledger(spark, str(tmp_path / "ledger" / "failed"), "failed").select("shard").distinct().count() == 2
 
 
 def test_transforms_come_from_a_file(spark, config_file, tmp_path, capsys):

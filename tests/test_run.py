@@ -10,6 +10,7 @@ import inkwell.plans.run as run_module
 from inkwell.config import RunConfig
 from inkwell.operators.client import RequestFailed, StubClient
 from inkwell.operators.outcomes import IncompleteShardsError, check_complete, request_log
+from inkwell.operators.shard import with_shard
 from inkwell.operators.validate import InvalidInputError
 from inkwell.plans.run import BreakerTripped, run
 from inkwell.schemas import results_schema
@@ -192,3 +193,23 @@ def test_incomplete_shards_are_named(spark, out):
     totals = spark.createDataFrame([(0, 10_000), (1, 1)], "shard int, total long")
     with pytest.raises(IncompleteShardsError, match="shard 0"):
         check_complete(totals, request_log(read_results(spark, out, "completion")))
+
+
+@pytest.mark.parametrize("shard_by", ["contiguous", "file"])
+def test_shards_as_rows_are_stored(spark, out, tmp_path, shard_by):
+    stored = str(tmp_path / "stored")
+    prompts(spark).repartitionById(6, (F.col("id").cast("int") / 10).cast("int")).write.parquet(stored)
+    rows = spark.read.parquet(stored)
+    summary = run(spark, config(out), StubClient(), rows, num_waves=2, shard_by=shard_by)
+    assert summary.new == 60 and ids(spark, out) == list(range(60))
+    placed = with_shard(rows, 3, shard_by)
+    want = {r.id: r.shard for r in placed.select("id", "shard").collect()}
+    assert {r.id: r.shard for r in read_results(spark, out, "completion").select("id", "shard").collect()} == want
+    assert run(spark, config(out), StubClient(), rows, shard_by=shard_by, shards=[0, 2]).new == 0
+
+
+def test_repeated_ids_stop_a_run_that_asks_for_it(spark, out):
+    twice = prompts(spark, 5).union(prompts(spark, 2))
+    with pytest.raises(InvalidInputError, match="id_repeated: 2 rows"):
+        run(spark, config(out), StubClient(), twice, check_unique=True)
+    assert read_results(spark, out, "completion").count() == 0
