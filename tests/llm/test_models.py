@@ -138,3 +138,103 @@ def test_every_training_token_is_a_target():
     learned = np.concatenate([tokens[:5000], tokens[8000:]])
     assert collections.Counter(targets) == collections.Counter([*learned.tolist(), 100, 100, 100])
     assert seen == len(targets) == 5703
+
+
+def plain_toxicity(model, text):
+    """The score of one text, word by word and window by window, in float64."""
+    import pyarrow as pa
+
+    from inkwell.llm.words import runs
+
+    p = {k: v.astype(np.float64) for k, v in model.network.p.items()}
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    if not words:
+        return 0.0
+
+    def vector(word):
+        (_, _, data, offsets), = runs(pa.array([word]))
+        one = toxicity.batch_of(data, offsets, model.vocabulary)
+        grams = p["gram"][one.gram].sum(axis=0) / max(1, len(one.gram))
+        return np.concatenate([p["word"][one.word[0]], grams])
+
+    def sigmoid(x):
+        return 1 / (1 + np.exp(-x))
+
+    def read(vectors, way):
+        state, out, n = np.zeros(toxicity.HIDDEN), [], toxicity.HIDDEN
+        for x in vectors if way == "f" else vectors[::-1]:
+            a, b = x @ p[f"x_{way}"] + p[f"bias_{way}"], state @ p[f"h_{way}"]
+            z, r = sigmoid(a[:n] + b[:n]), sigmoid(a[n : 2 * n] + b[n : 2 * n])
+            new = np.tanh(a[2 * n :] + r * b[2 * n :])
+            state = (1 - z) * new + z * state
+            out.append(state)
+        return out if way == "f" else out[::-1]
+
+    best = -np.inf
+    vectors, start = [vector(w) for w in words], 0
+    while True:
+        window = vectors[start : start + toxicity.WINDOW]
+        h = [np.concatenate(pair) for pair in zip(read(window, "f"), read(window, "b"), strict=True)]
+        scores = np.array([np.tanh(x @ p["attend"]) @ p["attend_v"] for x in h])
+        weight = np.exp(scores - scores.max())
+        pooled = sum(w * x for w, x in zip(weight / weight.sum(), h, strict=True))
+        best = max(best, pooled @ p["out"] + p["out_b"][0])
+        if start + toxicity.WINDOW >= len(words):
+            break
+        start += toxicity.STRIDE
+    return sigmoid(model.slope * best + model.shift)
+
+
+@pytest.fixture(scope="module")
+def fitted():
+    rows = texts_and_labels(1200)
+    train = [(t, y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    held = [(t, y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 4 == 2]
+    return toxicity.fit([t for t, _ in train], [y for _, y in train]), train, held
+
+
+def test_scores_equal_a_plain_forward_pass(fitted):
+    import pyarrow as pa
+
+    model, _, held = fitted
+    long = " ".join(t for t, _ in held[:60])  # thousands of words, many windows
+    texts = [t for t, _ in held[:12]] + [None, "", " \n", "one", "ÜBER Straße idiot " * 11, "w " * 32, "w " * 33, "w " * 48 + "moron", long, long]
+    got = model.scores(pa.array(texts))
+    want = np.array([plain_toxicity(model, t) for t in texts])
+    assert np.abs(got - want).max() < 1e-4 and got[-1] == got[-2]
+
+
+def auc(pairs):
+    pairs = list(pairs)
+    good, bad = [s for s, y in pairs if y], [s for s, y in pairs if not y]
+    return sum((a > b) + (a == b) / 2 for a in good for b in bad) / (len(good) * len(bad))
+
+
+def test_training_beats_the_untrained_network_and_word_counts(fitted):
+    """Counts: the largest surplus of a word in toxic texts. The network starts from those, and has to be no worse."""
+    import pyarrow as pa
+
+    model, train, held = fitted
+    texts, labels = pa.array([t for t, _ in held]), [y for _, y in held]
+    trained = auc(zip(model.scores(texts), labels, strict=True))
+    raw = toxicity.Model(toxicity.Network(), model.vocabulary, 1.0, 0.0)
+    untrained = auc(zip(raw.scores(texts), labels, strict=True))
+    seen, toxic = collections.Counter(), collections.Counter()
+    for text, y in train:
+        seen.update(set(text.split()))
+        toxic.update(set(text.split()) if y else ())
+    share = sum(y for _, y in train) / len(train)
+    surplus = {w: (toxic[w] - share * n) / (share * n + 1) ** 0.5 for w, n in seen.items()}
+    counted = auc([(max(surplus.get(w, 0) for w in t.split()), y) for t, y in held])
+    assert trained > untrained + 0.2 and trained >= counted - 0.01 and trained > 0.97
+
+
+def test_repeated_ids_in_the_sample_and_ties(spark):
+    rows = texts_and_labels(200)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] * 2 + [(3, "another text"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] * 3, "doc_id long, toxic int")
+    scored = toxicity.score(docs, toxicity.train(docs, labels)).collect()
+    by_text = collections.defaultdict(set)
+    for row in scored:
+        by_text[row["text"]].add(row["score"])
+    assert len(scored) == 402 and all(len(s) == 1 for s in by_text.values())
