@@ -237,4 +237,4 @@ def test_repeated_ids_in_the_sample_and_ties(spark):
     by_text = collections.defaultdict(set)
     for row in scored:
         by_text[row["text"]].add(row["score"])
-    assert len(scored) == 402 and all(len(s) == 1 for s in by_text.values())
+    assert len(scored) == 402 and all(max(s) - min(s) < 1e-5 for s in by_text.values())  # float32, in other batches
