@@ -23,25 +23,23 @@ def latest_per_id(df: DataFrame, id_col: str = "id", order: tuple[str, ...] = ("
 def _drop_repeats(table: DataFrame, order: list[Column]) -> DataFrame:
     """The last row of each id of a file-backed table, moving ids only.
 
-    Repeats are rare (a retry, or files left by a stop during compaction). They
-    are found on the id and the order columns, then the full rows are filtered;
-    the file and row number make the order strict. The short list is written
-    first: its true size decides how it is joined.
+    Repeats are rare (a retry). The repeated ids are found on the id alone; without any, the table is returned as it
+    is. Only their rows are then ordered, by the order columns, file and row number, and the full rows are filtered.
+    Both short lists are written: their true size decides how they are joined.
     """
+    counts = table.groupBy("id").agg(F.count(F.lit(1)).alias("_n"))
+    repeated = materialize(counts.where("_n > 1").select("id"), "repeated-ids")
+    if repeated.isEmpty():
+        return table
     place = F.struct(
         *order,
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.row_index").alias("row_index"),
     )
     located = table.select("*", place.alias("_place"))
-    repeated = (
-        located.groupBy("id")
-        .agg(F.max("_place").alias("_keep"), F.count(F.lit(1)).alias("_n"))
-        .where("_n > 1")
-        .select("id", "_keep")
-    )
-    repeated = materialize(repeated, "repeated-ids")
-    kept = located.join(repeated, "id", "left").where(F.col("_keep").isNull() | (F.col("_keep") == F.col("_place")))
+    last = located.join(repeated, "id", "left_semi").groupBy("id").agg(F.max("_place").alias("_keep"))
+    last = materialize(last, "last-places")
+    kept = located.join(last, "id", "left").where(F.col("_keep").isNull() | (F.col("_keep") == F.col("_place")))
     return kept.select(*table.columns)
 
 

@@ -139,3 +139,14 @@ def test_state_survives_a_restart_and_equals_the_batch_reports(spark, tmp_path):
     assert sorted(got.select(columns).collect()) == sorted(want.select(columns).collect()) and "eta_seconds" in columns
     found = spark.read.schema(TRIPS).parquet(trips).select("shard", "tripped_at", "id").collect()
     assert sorted(found) == sorted(breaker_trips(log, 4).select("shard", "tripped_at", "id").collect()) and found
+
+
+def test_batches_look_into_the_index(spark, tmp_path):
+    folder, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    add(spark, folder, 0, 10)
+    add(spark, folder, 5, 15)  # five ids again
+    assert annotate(spark, folder, out, state, done_scope="index").count() == 15
+    add(spark, folder, 10, 20)
+    rows = annotate(spark, folder, out, state, done_scope="index")
+    assert sorted(int(r.id) for r in rows.collect()) == list(range(20))
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("inkwell_ids")]
