@@ -284,3 +284,45 @@ def test_runs_cut_and_words():
     texts = ["a b", "", None, "c" * 50, "d\u00a0e f"]
     seen = [(lo, hi) for lo, hi, _, _ in runs(pa.array(texts), 10)]
     assert seen[0][0] == 0 and seen[-1][1] == 5
+
+
+def plain_hashes(text):
+    """The upper 32 bits of every distinct shingle's hash, as signed numbers."""
+    import xxhash
+
+    w = words(text)
+    spans = [w[i : i + 5] for i in range(len(w) - 4)] if len(w) >= 5 else [w] if w else []
+    out = set()
+    for span in spans:
+        seed = 42
+        for word in span:
+            seed = xxhash.xxh64_intdigest(word.encode(), seed)
+        high = seed >> 32
+        out.add(high - (1 << 32) if high >= 1 << 31 else high)
+    return out
+
+
+def test_kept_hashes_are_all_those_below_the_threshold(spark):
+    rng = random.Random(12)
+    texts = [" ".join(f"w{rng.randrange(900)}" for _ in range(n)) for n in (0, 1, 4, 5, 20, 60, 200, 900, 4000, 200_000)] + [None, "  "]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for row in fingerprint.with_sketch(rows, "text", "sketch").collect():
+        every = plain_hashes(row.text or "")
+        below = sorted(h for h in every if h < fingerprint.THRESHOLD)
+        assert row.sketch == (below if len(below) >= fingerprint.FLOOR else sorted(every)[: fingerprint.FLOOR])
+
+
+def test_likeness_of_long_texts_is_close_to_the_true_one(spark):
+    rng = random.Random(13)
+    pairs = []
+    for k in range(40):
+        a = [f"w{rng.randrange(5000)}" for _ in range(3000)]
+        at = rng.randrange(100, 2900)
+        pairs.append((k, " ".join(a), " ".join(a[:at] + [f"v{rng.randrange(5000)}" for _ in range(3000 - at)])))
+    df = fingerprint.with_sketch(spark.createDataFrame(pairs, "k int, x string, y string"), "x", "a")
+    got = fingerprint.compare(fingerprint.with_sketch(df, "y", "b"), "a", "b", "like", "inside").collect()
+    errors = []
+    for row in got:
+        a, b = plain_hashes(row.x), plain_hashes(row.y)
+        errors += [row.like - len(a & b) / len(a | b), row.inside - len(a & b) / len(a)]
+    assert max(map(abs, errors)) < 0.1 and abs(sum(errors) / len(errors)) < 0.02
