@@ -7,8 +7,10 @@ sums, or the length of the streak it is in.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -18,6 +20,9 @@ from inkwell.functions.errors import BREAKER_CLASSES
 from inkwell.operators.outcomes import TOKENS
 from inkwell.sources.shipping import ship_package
 
+# Processors are also opened once on the driver, in a worker that does not get the shipped package: send them by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 AMOUNTS = ("new", "errors", *TOKENS)
 FIRSTS = ("first_ok", "first_start")
 _SUMS = ", ".join(f"{name} bigint" for name in (*AMOUNTS, *FIRSTS))
