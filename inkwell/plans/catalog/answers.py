@@ -21,7 +21,6 @@ from inkwell.functions.parsing import (
     usage_columns,
 )
 from inkwell.functions.prompts import fill
-from inkwell.functions.sharding import hash_shard
 from inkwell.operators.client import StubClient
 from inkwell.operators.infer import align, infer
 from inkwell.operators.ledger import all_shards
@@ -474,8 +473,7 @@ def stream_infer(spark, sf_dir):
     """Documents annotated as arriving files."""
     folder, path = scratch_path(spark, "arrivals"), scratch_path(spark, "stream-out")
     docs = documents(spark, sf_dir).select("id", "text")
-    docs.repartitionById(4, hash_shard("id", 4)).write.parquet(folder)
-    arrivals = read_arrivals(spark, folder, docs.schema, max_files_per_trigger=2)
+    arrivals = read_arrivals(spark, folder, docs.schema, max_files_per_trigger=_save_arrivals(docs, folder))
     annotate_stream(arrivals, document_config(path), StubClient(), scratch_path(spark, "stream-state")).awaitTermination()
     rows = read_responses(spark, path)
     return rows.select("id", content().alias("content"), F.col("response.usage.total_tokens").alias("total_tokens"))
@@ -483,6 +481,18 @@ def stream_infer(spark, sf_dir):
 
 SQL_ONE_ANSWER = "SELECT CAST(doc_id AS VARCHAR) AS id, CAST(1 AS BIGINT) AS answers FROM documents"
 
+# Files of arriving documents, and how many of them a batch takes at most: a task's share of a batch has a bound.
+ARRIVAL_ROWS, ARRIVALS_PER_BATCH = 25_000, 16
+
+
+def _save_arrivals(docs, folder):
+    """Documents as files of even size, without a shuffle; returns how many files make two batches or more."""
+    num_rows = docs.count()
+    per_file = max(1, min(ARRIVAL_ROWS, -(-num_rows // 4)))
+    docs.write.option("maxRecordsPerFile", per_file).parquet(folder)
+    return max(1, min(ARRIVALS_PER_BATCH, -(-num_rows // per_file) // 2))
+
+
 
 def _answers(spark, path):
     ok = read_results(spark, path).where("status = 'ok'")
@@ -494,10 +504,10 @@ def stream_recovers(spark, sf_dir):
     """A stream whose endpoint is down at first: after a restart every document is answered once."""
     folder, path, state = (scratch_path(spark, name) for name in ("arrivals", "recovered", "stream-state"))
     docs = documents(spark, sf_dir).select("id", "text")
-    docs.repartitionById(2, hash_shard("id", 2)).write.parquet(folder)
+    per_batch = _save_arrivals(docs, folder)
     config = document_config(path, max_consecutive_failures=3)
     for client in (StubClient(fail=_refused), StubClient()):
-        arrivals = read_arrivals(spark, folder, docs.schema, max_files_per_trigger=1)
+        arrivals = read_arrivals(spark, folder, docs.schema, max_files_per_trigger=per_batch)
         try:
             annotate_stream(arrivals, config, client, state).awaitTermination()
         except StreamingQueryException as stopped:

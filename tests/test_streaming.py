@@ -150,3 +150,15 @@ def test_batches_look_into_the_index(spark, tmp_path):
     rows = annotate(spark, folder, out, state, done_scope="index")
     assert sorted(int(r.id) for r in rows.collect()) == list(range(20))
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("inkwell_ids")]
+
+
+def test_arriving_files_and_batches_have_a_bound(spark, tmp_path, monkeypatch):
+    from inkwell.plans.catalog import answers
+
+    monkeypatch.setattr(answers, "ARRIVAL_ROWS", 10)
+    for rows, files, per_batch in ((1000, 100, 16), (40, 4, 2), (2, 2, 1)):
+        folder = str(tmp_path / f"arrivals{rows}")
+        docs = spark.range(0, rows, 1, 1).select(F.col("id").cast("string").alias("id"), F.lit("x").alias("text"))
+        assert answers._save_arrivals(docs, folder) == per_batch
+        sizes = [r["count"] for r in spark.read.parquet(folder).groupBy("_metadata.file_name").count().collect()]
+        assert len(sizes) == files and max(sizes) <= 10 and sum(sizes) == rows
