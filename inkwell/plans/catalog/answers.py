@@ -52,9 +52,11 @@ from inkwell.session import materialize, scratch_path
 from inkwell.sinks.compaction import compact
 from inkwell.sinks.id_index import IdIndex
 from inkwell.sinks.tables import adopt_responses, append_results, export_responses, file_inventory
+from inkwell.sinks.task_files import files_in_progress
 from inkwell.sources.ledgers import read_ledger
 from inkwell.sources.progress_log import read_progress
 from inkwell.sources.responses import done_ids, read_results
+from inkwell.sources.shared_files import direct
 from inkwell.streaming.annotate import annotate_stream, read_arrivals
 
 _ANSWER_COLUMNS = "id, 'ok' AS status, 'stop' AS finish_reason, content, prompt_tokens, completion_tokens, total_tokens"
@@ -479,8 +481,6 @@ def stream_infer(spark, sf_dir):
     return rows.select("id", content().alias("content"), F.col("response.usage.total_tokens").alias("total_tokens"))
 
 
-SQL_ONE_ANSWER = "SELECT CAST(doc_id AS VARCHAR) AS id, CAST(1 AS BIGINT) AS answers FROM documents"
-
 # Files of arriving documents, and how many of them a batch takes at most: a task's share of a batch has a bound.
 ARRIVAL_ROWS, ARRIVALS_PER_BATCH = 25_000, 16
 
@@ -493,6 +493,8 @@ def _save_arrivals(docs, folder):
     return max(1, min(ARRIVALS_PER_BATCH, -(-num_rows // per_file) // 2))
 
 
+SQL_ONE_ANSWER = "SELECT CAST(doc_id AS VARCHAR) AS id, CAST(1 AS BIGINT) AS answers FROM documents"
+
 
 def _answers(spark, path):
     ok = read_results(spark, path).where("status = 'ok'")
@@ -537,7 +539,7 @@ def wave_salvage(spark, sf_dir):
     docs = documents(spark, sf_dir)
     config = document_config(path, api_base_url=",".join(f"http://host-{i}/v1" for i in range(NUM_SHARDS)))
     try:
-        run(spark, config, _FailsAt("http://host-0/v1"), docs, num_waves=1)
+        run(spark, config, _dying(spark, config), docs, num_waves=1)
     except PySparkException as died:
         if "no such host" not in str(died):
             raise
@@ -547,17 +549,35 @@ def wave_salvage(spark, sf_dir):
 
 
 class _FailsAt:
-    """Fails the task that asks for one endpoint, once the others have had time to finish."""
+    """Fails the tasks that ask for one endpoint, once the others have written their files."""
 
-    def __init__(self, endpoint: str) -> None:
-        self.endpoint = endpoint
+    def __init__(self, endpoint: str, table: str | None, others: int = 0) -> None:
+        self.endpoint, self.table, self.others = endpoint, table, others
 
     def __call__(self, endpoint: str):
         if endpoint == self.endpoint:
-            time.sleep(3)
+            self.wait()
             raise ValueError(f"no such host: {endpoint}")
         return StubClient()
 
+    def wait(self, most: float = 3600.0) -> None:
+        """Until complete files are all there is for some seconds: more of them if a task has none yet."""
+        began = since = time.time()
+        seen: dict[str, bool] = {}
+        while time.time() - since < (3 if not self.table or len(seen) >= self.others else 15):
+            time.sleep(0.2)
+            now = files_in_progress(self.table) if self.table else {}
+            if now != seen or not all(now.values()):
+                seen, since = now, time.time()
+            if time.time() - began > most:
+                return
+
+
+def _dying(spark, config):
+    """The client whose first endpoint kills its tasks."""
+    others = (config.num_shards - 1) * config.tasks_per_shard
+    return _FailsAt(config.endpoints[0], direct(spark, config.output_path), others)
+
 
 @query(
     "resume_indexed",

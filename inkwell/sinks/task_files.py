@@ -19,6 +19,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import datasource as ds
@@ -29,6 +30,8 @@ from inkwell.sources.shipping import ship_package
 
 ENDINGS = {"parquet": "parquet", "arrow": "arrow"}
 MOVES_AT_ONCE = 32
+# Row groups of parquet files: batches are small, and a writer keeps the description of every group until it closes.
+GROUP_ROWS, GROUP_BYTES = 16_384, 32 << 20
 
 
 @dataclass
@@ -107,45 +110,78 @@ class TaskFilesWriter(ds.DataSourceArrowWriter):
         store.delete_dir(hidden)
 
 
+@dataclass
+class _OpenFile:
+    sink: object
+    writer: object
+    count: int = 0
+    waiting: list[pa.RecordBatch] = field(default_factory=list)
+
+    def flush(self) -> None:
+        if self.waiting:
+            self.writer.write_table(pa.Table.from_batches(self.waiting))
+            self.waiting = []
+
+
 class _OpenFiles:
-    """The files that a task has open, one for each folder."""
+    """The files that a task has open, one for each folder. Rows of parquet files wait until they fill a row group."""
 
     def __init__(self, store, hidden: str, stem: str, kind: str, max_rows: int) -> None:
         self.store, self.hidden, self.stem, self.kind, self.max_rows = store, hidden, stem, kind, max_rows
         self.names: list[str] = []
-        self.open: dict[str, tuple] = {}
+        self.open: dict[str, _OpenFile] = {}
 
     def append(self, folder: str, rows: pa.RecordBatch) -> None:
         while rows.num_rows:
             if folder not in self.open:
                 self.open[folder] = self._start(folder, rows.schema)
-            sink, writer, count = self.open[folder]
-            some = rows.slice(0, self.max_rows - count) if self.max_rows else rows
-            writer.write_batch(some)
+            file = self.open[folder]
+            some = rows.slice(0, self.max_rows - file.count) if self.max_rows else rows
+            file.waiting.append(some)
+            if self._full(file):
+                file.flush()
             rows = rows.slice(some.num_rows)
-            self.open[folder] = (sink, writer, count + some.num_rows)
-            if self.max_rows and count + some.num_rows >= self.max_rows:
+            file.count += some.num_rows
+            if self.max_rows and file.count >= self.max_rows:
                 self._end(folder)
 
-    def _start(self, folder: str, schema: pa.Schema) -> tuple:
+    def _full(self, file: _OpenFile) -> bool:
+        if self.kind == "arrow":  # its readers share a file by batches
+            return True
+        return sum(b.num_rows for b in file.waiting) >= GROUP_ROWS or sum(b.nbytes for b in file.waiting) >= GROUP_BYTES
+
+    def _start(self, folder: str, schema: pa.Schema) -> _OpenFile:
         name = f"{self.stem}-{len(self.names):03d}.{ENDINGS[self.kind]}"
         name = f"{folder}/{name}" if folder else name
         self.store.create_dir(f"{self.hidden}/{name}".rpartition("/")[0], recursive=True)
         sink = self.store.open_output_stream(f"{self.hidden}/{name}")
         self.names.append(name)
         writer = pa.ipc.new_stream(sink, schema) if self.kind == "arrow" else pq.ParquetWriter(sink, schema, compression="zstd")
-        return sink, writer, 0
+        return _OpenFile(sink, writer)
 
     def _end(self, folder: str) -> None:
-        sink, writer, _ = self.open.pop(folder)
-        writer.close()
-        sink.close()
+        file = self.open.pop(folder)
+        file.flush()
+        file.writer.close()
+        file.sink.close()
 
     def close(self) -> None:
         for folder in list(self.open):
             self._end(folder)
 
 
+def files_in_progress(table: str) -> dict[str, bool]:
+    """Parquet files that tasks write for a resolved table, and whether each is complete."""
+    store, inner = open_store(table)
+    found = {}
+    for info in store.get_file_info(fs.FileSelector(inner, allow_not_found=True, recursive=True)):
+        if info.type == fs.FileType.File and "/_writing-" in info.path:
+            with store.open_input_file(info.path) as file:
+                size = file.size()
+                found[info.path] = size > 12 and file.read_at(4, size - 4) == b"PAR1"
+    return found
+
+
 def append_task_files(
     df: DataFrame, path: str, kind: str = "parquet", by: str | None = None, max_rows: int | None = None
 ) -> bool:

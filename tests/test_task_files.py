@@ -3,9 +3,11 @@
 import json
 import os
 import sys
+import threading
 import time
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
@@ -174,3 +176,38 @@ def test_a_wave_that_dies_keeps_its_finished_tasks(spark, out, tmp_path):
     counts = read_results(spark, out, "completion").groupBy("id").count().collect()
     assert len(counts) == 80 and {r["count"] for r in counts} == {1}
     assert not [n for n in os.listdir(out) if n.startswith("_writing")]
+
+
+def test_small_batches_share_row_groups(spark, out):
+    rows = spark.range(0, 5000, 1, 1).withColumn("shard", F.lit(0))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+    try:
+        assert append_task_files(rows, out, by="shard")
+        assert append_task_files(rows, f"{out}-cut", by="shard", max_rows=300)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    (file,) = [name for name, _ in files.list_files(spark, out)]
+    meta = pq.ParquetFile(file.removeprefix("file:")).metadata
+    assert (meta.num_rows, meta.num_row_groups) == (5000, 1)
+    assert spark.read.parquet(out).agg(F.sum("id"), F.count_distinct("id")).first()[:] == (12497500, 5000)
+    cut = [pq.ParquetFile(n.removeprefix("file:")).metadata.num_rows for n, _ in files.list_files(spark, f"{out}-cut")]
+    assert sorted(cut) == [200] + [300] * 16
+
+
+def test_a_dying_client_waits_for_the_files_of_the_others(tmp_path):
+    from inkwell.plans.catalog.answers import _FailsAt
+
+    folder = tmp_path / "_writing-1" / "shard=1"
+    folder.mkdir(parents=True)
+    (folder / "part.parquet").write_bytes(b"PAR1 some rows so far")
+
+    def finish():
+        with open(folder / "part.parquet", "ab") as file:
+            file.write(b"PAR1")
+
+    later = threading.Timer(5, finish)
+    later.start()
+    began = time.time()
+    _FailsAt("x", str(tmp_path), 1).wait()
+    assert time.time() - began >= 8
