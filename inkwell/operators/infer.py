@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import json
-import queue
 import re
+import threading
 import uuid
-from collections.abc import Callable, Iterator
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timezone
 from typing import Any
@@ -174,44 +175,97 @@ class _Sender:
         finish and the rest of the rows come out as `aborted`.
         """
         clients: dict[int, Client] = {}
-        breakers: dict[int, Breaker] = {}
-        finished: queue.SimpleQueue = queue.SimpleQueue()
-        out: list[dict[str, Any]] = []
-        open_requests = 0
-
-        def take() -> None:
-            row = finished.get()
-            breakers[row["shard"]].record(row["status"], row["error_class"])
-            out.append(row)
-
+        desk = _Desk(self.in_flight, self.deadline_s)
         with ThreadPoolExecutor(max_workers=self.in_flight) as pool:
-            for batch in batches:
-                ids, shards, requests = (batch.column(i).to_pylist() for i in range(3))
-                for row_id, shard, request in zip(ids, shards, requests):
-                    if shard not in clients:
+            try:
+                for _ in range(self.in_flight):
+                    pool.submit(desk.work)
+                for batch in batches:
+                    ids, shards, requests = (batch.column(i).to_pylist() for i in range(3))
+                    for shard in set(shards) - clients.keys():
                         clients[shard] = self.client_factory(self.endpoints[shard % len(self.endpoints)])
-                        breakers[shard] = Breaker(self.max_failures)
-                    while open_requests and (open_requests >= self.in_flight or not finished.empty()):
-                        take()
-                        open_requests -= 1
-                    if row_id is None:
-                        out.append(_no_id(shard))
-                    elif breakers[shard].tripped:
-                        out.append(_aborted(row_id, shard))
-                    else:
-                        pool.submit(_send, finished, clients[shard], row_id, shard, request, self.deadline_s)
-                        open_requests += 1
-                    if len(out) >= self.batch_rows:
+                        desk.breakers[shard] = Breaker(self.max_failures)
+                    desk.lay(zip(ids, shards, map(clients.get, shards), requests, strict=True))
+                    while out := desk.collect(self.batch_rows):
                         yield _batch(out)
-                        out = []
-            while open_requests:
-                take()
-                open_requests -= 1
-                if len(out) >= self.batch_rows:
+                while out := desk.collect(self.batch_rows, last=True):
                     yield _batch(out)
-                    out = []
-        if out:
-            yield _batch(out)
+            finally:
+                desk.close()
+
+
+class _Desk:
+    """Rows that wait for a thread and rows that are answered; the threads take the next row themselves.
+
+    The main thread wakes once for a batch, not for every row.
+    """
+
+    def __init__(self, in_flight: int, deadline_s: float) -> None:
+        self.in_flight, self.deadline_s = in_flight, deadline_s
+        self.breakers: dict[int, Breaker] = {}
+        self.waiting: deque = deque()
+        self.answered: list[dict[str, Any]] = []
+        self.open = 0
+        self.closed = False
+        self.broken: BaseException | None = None
+        lock = threading.Lock()
+        self.rows, self.few = threading.Condition(lock), threading.Condition(lock)
+
+    def lay(self, rows: Iterable[tuple]) -> None:
+        with self.rows:
+            self.waiting.extend(rows)
+            self.rows.notify_all()
+
+    def collect(self, most: int, last: bool = False) -> list[dict[str, Any]]:
+        """Up to `most` answered rows; none when the threads need more rows, or after the `last`, have answered all."""
+        with self.few:
+            while not self.broken:
+                if len(self.answered) >= most:
+                    break
+                if not last and len(self.waiting) < self.in_flight:
+                    return []
+                if last and not self.waiting and not self.open:
+                    break
+                self.few.wait()
+            if self.broken:
+                raise self.broken
+            out, self.answered = self.answered[:most], self.answered[most:]
+            return out
+
+    def close(self) -> None:
+        with self.rows:
+            self.closed = True
+            self.rows.notify_all()
+
+    def work(self) -> None:
+        """What each thread does until the desk is closed."""
+        try:
+            while True:
+                with self.rows:
+                    while not self.waiting and not self.closed:
+                        self.rows.wait()
+                    if self.closed:
+                        return
+                    row_id, shard, client, request = self.waiting.popleft()
+                    send = row_id is not None and not self.breakers[shard].tripped
+                    self.open += send
+                    if not send:
+                        self._put(_no_id(shard) if row_id is None else _aborted(row_id, shard))
+                if send:
+                    row = _send(client, row_id, shard, request, self.deadline_s)
+                    with self.rows:
+                        self.breakers[shard].record(row["status"], row["error_class"])
+                        self.open -= 1
+                        self._put(row)
+        except BaseException as error:
+            with self.rows:
+                self.broken = error
+                self.few.notify()
+
+    def _put(self, row: dict[str, Any]) -> None:
+        self.answered.append(row)
+        if len(self.waiting) < self.in_flight:
+            self.few.notify()
 
 
 def _batch(rows: list[dict[str, Any]]) -> pa.RecordBatch:
@@ -243,20 +297,19 @@ def http_status_of(error: Exception, text: str) -> int | None:
     return int(found[1]) if found else None
 
 
-def _send(finished: queue.SimpleQueue, client: Client, row_id, shard, request, deadline_s: float) -> None:
+def _send(client: Client, row_id, shard, request, deadline_s: float) -> dict[str, Any]:
     started = datetime.now(timezone.utc)
     try:
         if request is None:
             raise ValueError("the row has no input")
         body = normalise(client.call(request, deadline_s))
-        row = _row(row_id, shard, "ok", started, datetime.now(timezone.utc), body=body)
+        return _row(row_id, shard, "ok", started, datetime.now(timezone.utc), body=body)
     except Exception as error:  # noqa: BLE001 - every failure becomes a row
         text = str(error) or type(error).__name__
         kind = classify(text, isinstance(error, DeadlineExceeded))
-        row = _row(
+        return _row(
             row_id, shard, "error", started, datetime.now(timezone.utc), kind, text, http_status=http_status_of(error, text)
         )
-    finished.put(row)
 
 
 def normalise(body: str) -> str:

@@ -617,7 +617,7 @@ def ledger_round_trip(spark, sf_dir):
     docs = documents(spark, sf_dir)
     config = document_config(path, api_base_url=",".join(f"http://host-{i}/v1" for i in range(NUM_SHARDS)))
     try:
-        run(spark, config, _FailsAt("http://host-0/v1"), docs, num_waves=1, ledger_path=ledger)
+        run(spark, config, _dying(spark, config), docs, num_waves=1, ledger_path=ledger)
     except PySparkException as died:
         if "no such host" not in str(died):
             raise
@@ -643,7 +643,7 @@ def progress_of_failed_run(spark, sf_dir):
     path, log = scratch_path(spark, "failed"), scratch_path(spark, "failed-progress")
     config = document_config(path, api_base_url=",".join(f"http://host-{i}/v1" for i in range(NUM_SHARDS)))
     try:
-        run(spark, config, _FailsAt("http://host-0/v1"), documents(spark, sf_dir), num_waves=1, progress_path=log)
+        run(spark, config, _dying(spark, config), documents(spark, sf_dir), num_waves=1, progress_path=log)
     except PySparkException as died:
         if "no such host" not in str(died):
             raise

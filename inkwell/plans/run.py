@@ -39,9 +39,13 @@ _WAVE = "_wave"
 # (small enough to be broadcast), beyond it once, before the waves are cut.
 SMALL_DONE_BYTES = 10 * 1024 * 1024
 
-# Without a number of waves, results are committed about this often; a request is taken to last so long.
+# Without a number of waves, results are committed about this often. Until a wave has been timed, a request is taken to
+# last so long.
 COMMIT_SECONDS, REQUEST_SECONDS = 1800, 5
 
+# A wave grows by so much over the one before it, and gives a task no more than about so many rows.
+WAVE_GROWTH, TASK_ROWS = 4, 50_000
+
 # Cut waves by file only with so many files for each, or they would be uneven.
 FILES_PER_WAVE = 4
 
@@ -126,12 +130,15 @@ def run(
             stored = f"{scratch}/done-ids"
             done = materialize(earlier, "done-ids", path=stored)
         done_bytes = 0 if done.isEmpty() else sum(size for _, size in files.list_files(spark, stored))
+        pace = None
         if num_waves is None:
-            num_waves = default_waves(source.count(), config)
+            num_rows = source.count()
+            num_waves = default_waves(num_rows, config)
+            pace = _Pace(num_rows, num_waves, config)
         todo_before = num_waves > 1 and done_bytes > SMALL_DONE_BYTES
         rest = pending(source, done, config.id_column_name) if todo_before else source
         kept_open.push(records.at_the_end)
-        for wave, rows in enumerate(_waves(rest, num_waves, f"{scratch}/waves", by_file=not todo_before)):
+        for wave, rows in enumerate(_waves(rest, num_waves, f"{scratch}/waves", not todo_before, pace)):
             if done_bytes and not todo_before:
                 rows = pending(rows, done, config.id_column_name)
             # Source rows are dealt to tasks; prompts are built after that shuffle.
@@ -218,11 +225,31 @@ class _Records:
 
 
 def default_waves(rows: int, config: RunConfig) -> int:
-    """Waves for a commit about every `COMMIT_SECONDS`, at `REQUEST_SECONDS` a request on all connections."""
+    """Parts for a commit about every `COMMIT_SECONDS`, at `REQUEST_SECONDS` a request on all connections.
+
+    A wave takes one part, or several where the waves before it were faster than that.
+    """
     per_wave = COMMIT_SECONDS * config.max_connections * config.num_inference_servers // REQUEST_SECONDS
     return max(1, -(-rows // max(1, per_wave)))
 
 
+class _Pace:
+    """How many parts the next wave takes: what the last wave's pace does in `COMMIT_SECONDS`."""
+
+    def __init__(self, num_rows: int, num_parts: int, config: RunConfig) -> None:
+        tasks = config.num_shards * config.tasks_per_shard
+        self.most = max(1, TASK_ROWS * tasks * num_parts // max(1, num_rows))
+        self.parts, self.began = 1, None
+
+    def next_parts(self) -> int:
+        now = time.time()
+        if self.began is not None:
+            fitting = int(self.parts * COMMIT_SECONDS / max(now - self.began, 0.001))
+            self.parts = max(1, min(fitting, WAVE_GROWTH * self.parts, self.most))
+        self.began = now
+        return self.parts
+
+
 def input_totals(source: DataFrame, config: RunConfig) -> DataFrame:
     """Distinct ids per shard of the input; reads the id column only."""
     shard = _shard_of(source, config).alias("shard")
@@ -265,28 +292,39 @@ def _write_wave(
     return values.get("aborted") or 0
 
 
-def _waves(source: DataFrame, num_waves: int, stage_path: str, by_file: bool = True) -> Iterator[DataFrame]:
-    """The input in `num_waves` parts, each row in exactly one.
+def _waves(
+    source: DataFrame, num_parts: int, stage_path: str, by_file: bool = True, pace: _Pace | None = None
+) -> Iterator[DataFrame]:
+    """The input in `num_parts` parts, each row in exactly one; a wave is one of them, or as many as `pace` says.
 
     A table with enough files is cut by a hash of the file name, which prunes the
     file list: every wave scans only its own files, and nothing is moved. Any other frame is written once, one folder per
-    wave in files of even size, so that no wave computes it again.
+    part in files of even size, so that no wave computes it again.
     """
     located = _located(source)
-    if num_waves <= 1:
+    if num_parts <= 1:
         yield located
         return
-    if by_file and _ROW in located.columns and len(source.inputFiles()) >= FILES_PER_WAVE * num_waves:
-        file_wave = F.pmod(F.xxhash64("_metadata.file_path"), F.lit(num_waves))
-        for wave in range(num_waves):
-            yield _located(source.where(file_wave == wave))
+    if by_file and _ROW in located.columns and len(source.inputFiles()) >= FILES_PER_WAVE * num_parts:
+        file_part = F.pmod(F.xxhash64("_metadata.file_path"), F.lit(num_parts))
+        for first, last in _ranges(num_parts, pace):
+            yield _located(source.where(file_part.between(first, last)))
         return
     key = F.col(_ROW) if _ROW in located.columns else row_hash(located)
-    part = F.pmod(F.xxhash64(key), F.lit(num_waves))
+    part = F.pmod(F.xxhash64(key), F.lit(num_parts))
     cut = located.withColumn(_WAVE, part.cast("int")).hint("rebalance", _WAVE)
     staged = materialize(cut, "waves", _WAVE, path=stage_path)
-    for wave in range(num_waves):
-        yield staged.where(F.col(_WAVE) == wave).drop(_WAVE)
+    for first, last in _ranges(num_parts, pace):
+        yield staged.where(F.col(_WAVE).between(first, last)).drop(_WAVE)
+
+
+def _ranges(num_parts: int, pace: _Pace | None) -> Iterator[tuple[int, int]]:
+    """First and last part of each wave."""
+    first = 0
+    while first < num_parts:
+        last = min(num_parts, first + (pace.next_parts() if pace else 1)) - 1
+        yield first, last
+        first = last + 1
 
 
 def _located(df: DataFrame) -> DataFrame:

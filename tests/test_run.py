@@ -213,3 +213,22 @@ def test_repeated_ids_stop_a_run_that_asks_for_it(spark, out):
     with pytest.raises(InvalidInputError, match="id_repeated: 2 rows"):
         run(spark, config(out), StubClient(), twice, check_unique=True)
     assert read_results(spark, out, "completion").count() == 0
+
+
+def test_waves_take_several_parts_once_they_are_timed(spark, out, monkeypatch):
+    monkeypatch.setattr(run_module, "default_waves", lambda rows, config: 8)
+    summary = run(spark, config(out), StubClient(), prompts(spark))
+    assert summary.waves == 3  # of 1, 4 and 3 parts
+    assert ids(spark, out) == list(range(60))
+
+
+def test_pace_follows_the_clock_and_a_tasks_share(monkeypatch):
+    clock = [0.0]
+    monkeypatch.setattr(run_module.time, "time", lambda: clock[0])
+    pace = run_module._Pace(1_000_000, 50, config("x"))  # 20,000 rows a part, 6 tasks of 50,000 rows at most
+    assert pace.next_parts() == 1
+    got = []
+    for seconds in (10, 10, 10, 5400, 100_000):
+        clock[0] += seconds
+        got.append(pace.next_parts())
+    assert got == [4, 15, 15, 5, 1]
