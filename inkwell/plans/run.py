@@ -35,8 +35,8 @@ from inkwell.sources.responses import done_ids, finished, read_results
 _ROW = "_row"
 _WAVE = "_wave"
 
-# Ids already done, as stored: up to this size they are joined in every wave
-# (small enough to be broadcast), beyond it once, before the waves are cut.
+# Ids already done, as stored: while all waves together send no more than this, they are joined
+# in every wave (small enough to be broadcast), beyond it once, before the waves are cut.
 SMALL_DONE_BYTES = 10 * 1024 * 1024
 
 # Without a number of waves, results are committed about this often. Until a wave has been timed, a request is taken to
@@ -135,7 +135,7 @@ def run(
             num_rows = source.count()
             num_waves = default_waves(num_rows, config)
             pace = _Pace(num_rows, num_waves, config)
-        todo_before = num_waves > 1 and done_bytes > SMALL_DONE_BYTES
+        todo_before = num_waves > 1 and done_bytes * num_waves > SMALL_DONE_BYTES
         rest = pending(source, done, config.id_column_name) if todo_before else source
         kept_open.push(records.at_the_end)
         for wave, rows in enumerate(_waves(rest, num_waves, f"{scratch}/waves", not todo_before, pace)):

@@ -232,3 +232,13 @@ def test_pace_follows_the_clock_and_a_tasks_share(monkeypatch):
         clock[0] += seconds
         got.append(pace.next_parts())
     assert got == [4, 15, 15, 5, 1]
+
+
+def test_done_ids_are_joined_once_where_all_waves_would_send_too_many(spark, out, monkeypatch):
+    run(spark, config(out), StubClient(), prompts(spark, 25))
+    calls = []
+    joined = run_module.pending
+    monkeypatch.setattr(run_module, "SMALL_DONE_BYTES", 1000)  # more than the stored ids, less than three times them
+    monkeypatch.setattr(run_module, "pending", lambda *a: calls.append(1) or joined(*a))
+    assert run(spark, config(out), StubClient(), prompts(spark), num_waves=3).new == 35
+    assert len(calls) == 1
