@@ -305,6 +305,32 @@ def test_held_out_recall_and_a_network_without_training():
     assert ((p - labels[test]) ** 2).mean() < 0.5 * ((q - labels[test]) ** 2).mean()
 
 
+def test_every_candidate_trains_in_parts(spark):
+    rows, hidden = secret_rows()
+    df = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string").repartition(3)
+    found = secret_scan.candidate_rows(df, 150)
+    _, labels, shapes, _ = secret_scan.labelled(pa.array([t for _, t in rows]))
+    got = found.groupBy("label", "shape").count().collect()
+    want = np.unique(np.stack([labels, shapes]), axis=1, return_counts=True)
+    assert sorted(tuple(r) for r in got) == [(*k, n) for k, n in zip(want[0].T.tolist(), want[1].tolist(), strict=True)]
+    assert found.select("part").distinct().count() == -(-len(labels) // 150) > 3
+    model = secret_scan.train(df, part_rows=150)
+    other = secret_scan.train(df.repartition(7, "text"), part_rows=150)
+    assert model.thresholds == other.thresholds and (model.network.p["out"] == other.network.p["out"]).all()
+    added = {r.doc_id for r in secret_scan.scan(df, model).collect() if any(s.kind == "network" for s in r.secrets)}
+    assert len(added & hidden) >= 0.9 * len(hidden) and len(added - hidden) <= 0.01 * len(rows)
+
+
+def test_counted_logits_calibrate_as_rows_do():
+    rng = np.random.default_rng(2)
+    y, shape = np.repeat([1, 0], 400), rng.integers(0, 3, 800)
+    logits = np.rint((rng.standard_normal(800) + 4 * y - 2) * 8) / 8
+    rows = secret_scan._calibrated(None, logits, y, shape, np.ones(800))
+    values, count = np.unique(np.stack([logits, y, shape]), axis=1, return_counts=True)
+    bins = secret_scan._calibrated(None, *values, count)
+    assert len(count) < 400 and abs(rows.slope - bins.slope) < 1e-9 and np.allclose(rows.thresholds, bins.thresholds)
+
+
 def test_without_findings_or_rows_the_rules_stand_alone(spark):
     schema = "doc_id long, text string"
     for rows in ([], [(1, None), (2, "no secrets here, mail1.example.com/a1b2c3")], [(1, "token=0123456789abcdef01")]):
